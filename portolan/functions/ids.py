@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from portolan.functions.numeric import bind
+
 # The id formats looked for in text, and the official check-digit weights.
 FORMATTED_ID = r"\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}"
 BARE_ID = r"\b\d{14}\b"
@@ -19,7 +21,7 @@ def normalize_id(col: Column) -> Column:
 
 
 def digits_only(col: Column) -> Column:
-    return F.regexp_replace(col.cast("string"), r"\D", "")
+    return F.regexp_replace(col.cast("string"), r"\D+", "")
 
 
 def pad14(digits: Column) -> Column:
@@ -29,16 +31,22 @@ def pad14(digits: Column) -> Column:
 
 def normalize_cnpj(col: Column) -> Column:
     """Digits only, zero-filled to 14; NULL stays NULL."""
-    return pad14(digits_only(col))
+    return bind(digits_only(col), pad14)
 
 
 def check_digit(digits: Column, weights: tuple[int, ...]) -> Column:
+    """Modulo-11 check digit over the leading digits. Bind `digits` first: it is used per weight."""
     total = sum(
         (F.substring(digits, i + 1, 1).cast("int") * w for i, w in enumerate(weights)),
         start=F.lit(0),
     )
-    remainder = total % 11
-    return F.when(remainder < 2, F.lit(0)).otherwise(F.lit(11) - remainder)
+    return bind(total % 11, lambda r: F.when(r < 2, F.lit(0)).otherwise(F.lit(11) - r))
+
+
+def with_check_digits(stem: Column) -> Column:
+    """12 digits completed by both official check digits."""
+    first = bind(stem, lambda s: F.concat(s, check_digit(s, FIRST_WEIGHTS).cast("string")))
+    return bind(first, lambda s: F.concat(s, check_digit(s, SECOND_WEIGHTS).cast("string")))
 
 
 def cnpj_is_valid(col: Column, rule: str = "official") -> Column:
@@ -49,24 +57,28 @@ def cnpj_is_valid(col: Column, rule: str = "official") -> Column:
     """
     if rule not in ("official", "reference"):
         raise ValueError(f"unknown rule: {rule}")
-    digits = normalize_cnpj(col)
-    first = check_digit(digits, FIRST_WEIGHTS)
-    second = check_digit(digits, SECOND_WEIGHTS) if rule == "official" else first
-    all_equal = digits == F.repeat(F.substring(digits, 1, 1), 14)
-    # The length test guards the digit arithmetic: ANSI casts of an empty substring would raise.
-    checked = (
-        (first == F.substring(digits, 13, 1).cast("int"))
-        & (second == F.substring(digits, 14, 1).cast("int"))
-        & ~all_equal
-    )
-    return F.coalesce(F.when(F.length(digits) == 14, checked), F.lit(False))
+    second_weights = SECOND_WEIGHTS if rule == "official" else FIRST_WEIGHTS
+
+    def test(digits: Column) -> Column:
+        checked = (
+            (check_digit(digits, FIRST_WEIGHTS) == F.substring(digits, 13, 1).cast("int"))
+            & (check_digit(digits, second_weights) == F.substring(digits, 14, 1).cast("int"))
+            & (digits != F.repeat(F.substring(digits, 1, 1), 14))
+        )
+        # The length test guards the digit casts, which raise on empty text.
+        return F.when(F.length(digits) == 14, checked)
+
+    return F.coalesce(bind(normalize_cnpj(col), test), F.lit(False))
 
 
 def cnpj_mask(col: Column) -> Column:
     """NN.NNN.NNN/NNNN-NN when there are exactly 14 digits, else the input."""
-    digits = digits_only(col)
-    masked = F.regexp_replace(digits, r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$", "$1.$2.$3/$4-$5")
-    return F.when(F.length(digits) == 14, masked).otherwise(col)
+    shape = r"^(\d{2})(\d{3})(\d{3})(\d{4})(\d{2})$"
+    masked = bind(
+        digits_only(col),
+        lambda d: F.when(F.length(d) == 14, F.regexp_replace(d, F.lit(shape), F.lit("$1.$2.$3/$4-$5"))),
+    )
+    return F.coalesce(masked, col)
 
 
 def cnpj_format_check(col: Column) -> Column:
@@ -83,7 +95,7 @@ def cnpj_format_check(col: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: pad14(digits_only(m)))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: normalize_cnpj(m))
 
 
 def ids_in_text(text: Column, variant: str = "default") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,6 +26,15 @@ def clip01(col: Column, default: float = 0.0) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(col, F.lit(default))))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often `body` uses it.
+
+    Catalyst merges projections and would copy an expression into every use; a lambda variable it
+    does not.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def divide(num: Column, den: Column) -> Column:
     """num / den, NULL where den is 0."""
     return num / F.when(den != 0, den)

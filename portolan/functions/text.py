@@ -62,7 +62,7 @@ def word_bounded_ngrams(col: Column, n_min: int = 3, n_max: int = 5) -> Column:
     grams = [
         F.filter(
             F.regexp_extract_all(spaced, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1)),
-            lambda g, n=n: ~F.substring(g, 2, n - 2).contains(" "),
+            lambda g: ~F.substring(g, 2, n - 2).contains(" "),
         )
         for n in range(n_min, n_max + 1)
     ]
@@ -70,14 +70,20 @@ def word_bounded_ngrams(col: Column, n_min: int = 3, n_max: int = 5) -> Column:
 
 
 def word_ngrams(tokens: Column, n_max: int = 2) -> Column:
-    """Words, then pairs (up to n_max) of adjacent words joined by a blank."""
+    """Words, then runs (up to n_max) of adjacent words joined by a blank.
+
+    Runs are zipped from shifted slices: a lambda indexing `tokens` would evaluate it per position.
+    """
     grams = [tokens]
     for n in range(2, n_max + 1):
-        # sequence(1, 0) counts down, so short token lists are kept out first.
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))).otherwise(
-            F.array().cast("array<int>")
+        places = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
+        grams.append(
+            F.zip_with(
+                F.slice(grams[-1], F.lit(1), places),
+                F.slice(tokens, F.lit(n), places),
+                lambda left, right: F.concat_ws(" ", left, right),
+            )
         )
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
     return F.concat(*grams)
 
 

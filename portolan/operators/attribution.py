@@ -107,7 +107,7 @@ def _fallback(model: ComplementModel, k: int) -> Column:
 
 
 def bag_scores(tokens: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
-    """(bag, class, len, gain, base, p): scores that hold the exact top k of every bag."""
+    """(bag, class, len, constant, gain, base, p): scores that hold the exact top k of every bag."""
     known = F.col("ln_all").isNotNull()
     lengths = (
         tokens.join(model.tokens, "token", "left")
@@ -124,12 +124,12 @@ def bag_scores(tokens: DataFrame, model: ComplementModel, k: int = TOP) -> DataF
         gains.join(model.classes, "class")
         .join(lengths, "bag")
         .withColumn("p", F.col("len") * F.col("base") - F.col("constant") + F.col("gain"))
-        .select("bag", "class", "len", "gain", "base", "p")
+        .select("bag", "class", "len", "constant", "gain", "base", "p")
     )
 
 
 def bag_totals(scores: DataFrame, model: ComplementModel) -> DataFrame:
-    """(bag, lse, spread): log of the summed exponentials over all classes, and the entropy.
+    """(bag, shift, spread): what turns a score into a log probability over all classes, and the entropy.
 
     Classes without gain depend on the bag through its length only, so their sums are computed once
     per distinct length over the class table (at most 20,000 classes by the class cap, one array).
@@ -166,13 +166,14 @@ def bag_totals(scores: DataFrame, model: ComplementModel) -> DataFrame:
         F.first("flat").alias("flat"),
         F.first("flat_s").alias("flat_s"),
         F.first("top").alias("top"),
+        F.first("constant").alias("constant"),
         F.sum(raised - F.exp("s")).alias("more"),
         F.sum(raised * (F.col("s") + F.col("gain")) - F.exp("s") * F.col("s")).alias("more_s"),
     )
     mass = F.col("flat") + F.col("more")
     return per_bag.select(
         "bag",
-        (F.col("top") + F.ln(mass)).alias("lse"),
+        (F.col("constant") - F.col("top") - F.ln(mass)).alias("shift"),
         (F.ln(mass) - (F.col("flat_s") + F.col("more_s")) / mass).alias("spread"),
     )
 
@@ -183,22 +184,9 @@ def attribute(df: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
     scores = bag_scores(bag_tokens(df), model, k)
     best = top_classes(scores, ["bag"], k)
     totals = bag_totals(scores, model)
-    probability = {
-        r: F.exp(
-            F.col(f"Top{r}_p") - F.col("top_score") + F.col("top_log_p")
-        )
-        for r in range(1, k + 1)
-    }
-    # The row constant cancels: the best class's log probability is len * base + gain - lse.
-    lead = (
-        scores.groupBy("bag").agg(
-            F.max("p").alias("top_score"), F.max(F.col("len") * F.col("base") + F.col("gain")).alias("top_raw")
-        )
-    )
+    probability = {r: F.exp(F.col(f"Top{r}_p") + F.col("shift")) for r in range(1, k + 1)}
     per_bag = (
-        best.join(lead, "bag")
-        .join(totals, "bag")
-        .withColumn("top_log_p", F.col("top_raw") - F.col("lse"))
+        best.join(totals, "bag")
         .select(
             "bag",
             F.col("Top1").alias("RES_Previsto"),

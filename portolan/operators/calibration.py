@@ -135,6 +135,34 @@ def fit_platt(df: DataFrame, y: str = "y", p: str = "p") -> Calibrator:
     return Calibrator("platt", apply, {"slope": slope, "intercept": intercept})
 
 
+def fit_sigmoid(df: DataFrame, y: str = "y", score: str = "p") -> Calibrator:
+    """Sigmoid on any score, with targets pulled in from 0 and 1 so that a fit exists even where the
+    score separates the classes: each row counts partly for the other label."""
+    points = _distinct_points(df, y, score)
+    sizes = points.agg(
+        F.struct(
+            F.coalesce(F.sum(F.when(F.col("label") == 1.0, F.col("weight"))), F.lit(0.0)).alias("pos"),
+            F.coalesce(F.sum(F.when(F.col("label") == 0.0, F.col("weight"))), F.lit(0.0)).alias("neg"),
+        ).alias("s")
+    ).scalar()
+    target = F.when(F.col("label") == 1.0, (F.col("s.pos") + 1) / (F.col("s.pos") + 2)).otherwise(
+        1 / (F.col("s.neg") + 2)
+    )
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit(1.0).alias("label"), (F.col("weight") * F.col("target")).alias("weight")),
+            F.struct(F.lit(0.0).alias("label"), (F.col("weight") * (1 - F.col("target"))).alias("weight")),
+        )
+    )
+    soft = points.withColumn("s", sizes).withColumn("target", target).select("p", sides.alias("side")).select("p", "side.*")
+    (slope,), intercept = _logistic(soft, [F.col("p")], True)
+
+    def apply(frame: DataFrame, source: str, out: str) -> DataFrame:
+        return frame.withColumn(out, _sigmoid(F.lit(slope) * F.col(source) + F.lit(intercept)))
+
+    return Calibrator("sigmoid", apply, {"slope": slope, "intercept": intercept})
+
+
 def fit_isotonic(df: DataFrame, y: str = "y", p: str = "p") -> Calibrator:
     """Pool-adjacent-violators; values outside the fitted range take the end values."""
     points = _distinct_points(df, y, p)
@@ -226,7 +254,7 @@ def cross_fitted_sigmoid(
     """Sigmoid calibration in which each fold is mapped by a fit on the other folds."""
     folds = [r[fold] for r in scores.select(fold).distinct().orderBy(fold).collect()]
     parts = [
-        fit_platt(scores.where(F.col(fold) != f), y, score).apply(scores.where(F.col(fold) == f), score, out)
+        fit_sigmoid(scores.where(F.col(fold) != f), y, score).apply(scores.where(F.col(fold) == f), score, out)
         for f in folds
     ]
     result = parts[0]

@@ -188,15 +188,17 @@ def kpi_char_pattern(df: DataFrame, grams: Column, cols: ImportColumns = IMPORTS
     texts = [c for c in cols.text if c in df.columns]
     if not texts:
         return df.withColumn("KPI_PadraoChar", F.lit(0.0))
-    held = F.size(F.filter("frequent_grams", lambda g: F.contains(F.col("text_blob"), g)))
+    # The one-element array binds the cleaned text to a lambda variable, so it is computed once per row.
+    blob = F.array(text_blob(*[F.col(c) for c in texts]))
+    held = F.transform(blob, lambda b: F.size(F.filter("frequent_grams", lambda g: F.contains(b, g))))[0]
     score = half_even(F.least(held / F.lit(FULL_GRAM_HITS), F.lit(1.0)), 4)
     return (
-        df.withColumns({"frequent_grams": grams, "text_blob": text_blob(*[F.col(c) for c in texts])})
+        df.withColumn("frequent_grams", grams)
         .withColumn(
             "KPI_PadraoChar",
             F.when(F.col("frequent_grams").isNull() | (F.size("frequent_grams") == 0), F.lit(0.0)).otherwise(score),
         )
-        .drop("frequent_grams", "text_blob")
+        .drop("frequent_grams")
     )
 
 

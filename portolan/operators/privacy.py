@@ -142,7 +142,7 @@ def sample_copula(spark, copula: Copula, n: int | None = None, seed: int = 42) -
         ends = np.cumsum([p for _, p in shares])
         upper = F.array(*[F.lit(float(e)) for e in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<double>")
         u = F.col(f"u{at}")
-        out.append(F.element_at(names, F.size(F.filter(upper, lambda e, u=u: e <= u)) + 1).alias(c))
+        out.append(F.element_at(names, F.size(F.filter(upper, lambda e: e <= u)) + 1).alias(c))
         at += 1
     for c, (low, high) in copula.dates.items():
         out.append(

@@ -44,7 +44,10 @@ def run_base(
     typed = df.withColumns({n: F.coalesce(lenient_double(n), F.lit(0.0)) for n in numbers}).withColumn(
         "label", F.col(label).cast("double")
     )
-    split = stratified_split(typed, "label", [key])
+    # Everything that iterates reads tables written once, so neither the split nor the model is worked
+    # out again per pass, and a lost executor costs a read.
+    export_parquet(stratified_split(typed, "label", [key]), f"{output}/split")
+    split = spark.read.parquet(f"{output}/split")
     train = split.where(F.col("split") == "train")
     preprocessor = fit_preprocessor(train, list(categories), list(numbers))
     model = fit_logistic(preprocessor.transform(train))
@@ -53,12 +56,11 @@ def run_base(
         key, F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p")
     )
     export_parquet(scored, f"{output}/scores")
-    # Later steps read what was written, so the model is applied once and a lost executor costs a read.
     scored = spark.read.parquet(f"{output}/scores")
     calibration = fit_auto(scored)
     write_report(calibration.report, f"{output}/calibration")
     quasi = [c for c in QUASI_IDS if c in df.columns]
     columns = quasi + [n for n in numbers if n not in quasi]
-    _, privacy = generate_and_validate(spark, typed.select(*columns), quasi)
+    _, privacy = generate_and_validate(spark, split.select(*columns), quasi)
     write_report(privacy, f"{output}/privacy")
     return BaseRun(kpis, scored, calibration, privacy, preprocessor)

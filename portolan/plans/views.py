@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.functions.scoring import company_age, credit_score
+from portolan.functions.ids import with_check_digits
 from portolan.functions.numeric import divide
+from portolan.functions.scoring import company_age, credit_score
 
 # State codes in nation-key order, and the name endings.
 STATES = (
@@ -162,15 +163,12 @@ def provider_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cnpj_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chave, cnpj): 12 digits with right check digits for even customer keys, shifted ones for odd keys,
     padded keys, masked text and missing ids by segment."""
-    from portolan.functions.ids import FIRST_WEIGHTS, SECOND_WEIGHTS, check_digit
-
     c = F.col
     stem = F.concat(padded(c("c_custkey") * 7919 % 100000000, 8), F.lit("0001"))
-    first = F.concat(stem, check_digit(stem, FIRST_WEIGHTS).cast("string"))
-    full = F.concat(first, check_digit(first, SECOND_WEIGHTS).cast("string"))
+    full = c("full")
     wrong = F.concat(F.substring(full, 1, 13), ((F.substring(full, 14, 1).cast("int") + 1) % 10).cast("string"))
     segment = c("c_mktsegment")
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").withColumn("full", with_check_digits(stem)).select(
         c("c_custkey").alias("chave"),
         F.when(segment == "MACHINERY", padded(c("c_custkey"), 14))
         .when(segment == "FURNITURE", F.concat(F.substring(full, 1, 2), F.lit("."), F.substring(full, 3, 12)))

@@ -9,6 +9,7 @@ from portolan.operators import metrics as m
 from portolan.operators import ml
 from portolan.operators.topk import top_classes
 from portolan.plans.views import event_models, imports, table
+from portolan.session import scratch_path
 from workload.catalog import IMPORTS, he, query
 
 WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
@@ -45,7 +46,10 @@ def _bags(spark, d):
 )
 def cnb(spark, d):
     rows = _bags(spark, d)
-    model = a.complement_model(a.complement_counts(rows, "cnpj"))
+    # A fitted model is stored and loaded: scoring reads three small tables instead of training again.
+    path = scratch_path(spark, "model")
+    a.complement_model(a.complement_counts(rows, "cnpj")).save(path)
+    model = a.ComplementModel.load(spark, path)
     return a.attribute(rows, model).drop("descricao")
 
 
@@ -240,13 +244,21 @@ def char_counts(spark, d):
     return ml.char_counts(table(spark, d, "conversations"), "conv_id", ["text"])
 
 
+def _stored(spark, df, name):
+    """Features written once: iterative fits read them instead of mining the texts again."""
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("linear_text_model")
 def linear_text(spark, d):
     """Log-loss and margin members on hashed text, their vote, and its accuracy."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    rows = ml.hashed_features(docs.select("doc_id", "text", F.col("quality").cast("double").alias("label"), "lang", "n_chars"), ["text"])
+    rows = ml.hashed_features(docs.select("doc_id", "text", F.col("quality").cast("double").alias("label"), "lang", "n_chars"), ["text"], 2**12, 2**12)
     pre = ml.fit_preprocessor(rows, ["lang"], ["n_chars"], ["hash_word", "hash_char"])
     data = pre.transform(rows).select("doc_id", "label", "features").withColumn("name", F.col("label").cast("int").cast("string"))
+    data = _stored(spark, data, "text-features")
     logistic = ml.class_probabilities(ml.fit_logistic(data).transform(data), "doc_id", ["0", "1"])
     margin = ml.margin_probabilities(ml.fit_margin(data).transform(data), "doc_id", ["0", "1"], "name")
     vote = a.soft_vote([(logistic, 1.0), (margin, 0.8)], "doc_id")
@@ -259,6 +271,6 @@ def neural(spark, d):
     """Perceptron on principal components of hashed words."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     rows = ml.hashed_features(docs.select("doc_id", "text", F.col("quality").cast("double").alias("label")), ["text"], 512, 512)
-    data = rows.select("doc_id", "label", F.col("hash_word").alias("features"))
+    data = _stored(spark, rows.select("doc_id", "label", F.col("hash_word").alias("features")), "neural-features")
     model = ml.fit_neural(data, 2, dim=32, hidden=(32, 16))
     return m.accuracy(model.transform(data), "label", "prediction")

@@ -147,7 +147,7 @@ DAYS = "abs(floor((epoch_us(eta_real) - epoch_us(eta))::DOUBLE / 86400000000::DO
 
 KPI_ROWS = f"""{ENRICHED}, {grams_sql("imports", "descricao")},
 stats AS (SELECT median({VK}) AS med FROM enriched),
-imp AS (SELECT importador, avg({VALUE}) AS m, stddev_samp({VALUE}) AS s FROM enriched GROUP BY 1),
+imp AS (SELECT importador AS imp_name, avg({VALUE}) AS m, stddev_samp({VALUE}) AS s FROM enriched GROUP BY 1),
 pattern AS (
   SELECT blob, {he("least((SELECT count(*) FROM top_grams WHERE contains(blob, gram))::DOUBLE / 10::DOUBLE, 1)", 4)} AS hit
   FROM blobs
@@ -164,7 +164,7 @@ kpi_rows AS (
     coalesce(1 - ext_score_credito, 0.5::DOUBLE) AS KPI_Ext_ScoreCredito,
     hit AS KPI_PadraoChar
   FROM enriched e CROSS JOIN stats
-  JOIN imp ON e.importador = imp.importador
+  JOIN imp ON e.importador = imp.imp_name
   JOIN pattern ON {blob_sql("e.descricao")} = pattern.blob
 )"""
 
