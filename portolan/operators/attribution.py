@@ -18,6 +18,7 @@ from portolan.operators.topk import top_classes
 
 ALPHA = 0.3
 TOP = 5
+FAN_OUT = 4
 # Memory of a streaming vote weight and lower limit of a batch one.
 MEMORY = 0.7
 LOWEST_WEIGHT = 0.1
@@ -106,10 +107,10 @@ def _fallback(model: ComplementModel, k: int) -> Column:
     return best.union(first).agg(F.collect_set("class").alias("c")).scalar()
 
 
-def bag_scores(tokens: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
-    """(bag, class, len, constant, gain, base, p): scores that hold the exact top k of every bag."""
+def bag_lengths(tokens: DataFrame, model: ComplementModel) -> DataFrame:
+    """(bag, len, constant): known tokens of a bag, and the part of its scores that is equal for all classes."""
     known = F.col("ln_all").isNotNull()
-    lengths = (
+    return (
         tokens.join(model.tokens, "token", "left")
         .groupBy("bag")
         .agg(
@@ -117,6 +118,10 @@ def bag_scores(tokens: DataFrame, model: ComplementModel, k: int = TOP) -> DataF
             F.coalesce(F.sum(F.col("x") * F.col("ln_all")), F.lit(0.0)).alias("constant"),
         )
     )
+
+
+def bag_scores(tokens: DataFrame, lengths: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
+    """(bag, class, len, constant, gain, base, p): scores that hold the exact top k of every bag."""
     shared = tokens.join(model.pairs, "token").select("bag", "class", (F.col("x") * F.col("gain")).alias("gain"))
     others = lengths.select("bag", F.explode(_fallback(model, k)).alias("class"), F.lit(0.0).alias("gain"))
     gains = shared.union(others).groupBy("bag", "class").agg(F.sum("gain").alias("gain"))
@@ -128,39 +133,32 @@ def bag_scores(tokens: DataFrame, model: ComplementModel, k: int = TOP) -> DataF
     )
 
 
-def bag_totals(scores: DataFrame, model: ComplementModel) -> DataFrame:
-    """(bag, shift, spread): what turns a score into a log probability over all classes, and the entropy.
+def length_sums(lengths: DataFrame, model: ComplementModel) -> DataFrame:
+    """(len, top, flat, flat_s) per distinct bag length: sums over all classes as if no token were shared.
 
-    Classes without gain depend on the bag through its length only, so their sums are computed once
-    per distinct length over the class table (at most 20,000 classes by the class cap, one array).
+    Classes without gain depend on a bag through its length only, so this is once per length over the
+    class table (at most 20,000 classes by the class cap, one array).
     """
     bases = model.classes.agg(
         F.struct(F.max("base").alias("top"), F.collect_list("base").alias("all")).alias("b")
     ).scalar()
-    length = F.col("len").cast("double")
-    sums = (
-        scores.select("len")
+    offset = lambda v: F.col("len") * (v - F.col("b.top"))
+    return (
+        lengths.select("len")
         .distinct()
         .withColumn("b", bases)
-        .withColumn("top", length * F.col("b.top"))
-        .withColumn(
-            "flat",
-            F.aggregate(
-                "b.all", F.lit(0.0), lambda acc, v: acc + F.exp(F.col("len") * v - F.col("top"))
-            ),
-        )
-        .withColumn(
-            "flat_s",
-            F.aggregate(
-                "b.all",
-                F.lit(0.0),
-                lambda acc, v: acc + F.exp(F.col("len") * v - F.col("top")) * (F.col("len") * v - F.col("top")),
-            ),
+        .select(
+            "len",
+            (F.col("len") * F.col("b.top")).alias("top"),
+            F.aggregate("b.all", F.lit(0.0), lambda acc, v: acc + F.exp(offset(v))).alias("flat"),
+            F.aggregate("b.all", F.lit(0.0), lambda acc, v: acc + F.exp(offset(v)) * offset(v)).alias("flat_s"),
         )
-        .drop("b")
     )
-    s = F.col("len") * F.col("base") - F.col("top")
-    joined = scores.join(sums, "len").withColumn("s", s)
+
+
+def bag_totals(scores: DataFrame, sums: DataFrame) -> DataFrame:
+    """(bag, shift, spread): what turns a score into a log probability over all classes, and the entropy."""
+    joined = scores.join(sums, "len").withColumn("s", F.col("len") * F.col("base") - F.col("top"))
     raised = F.exp(F.col("s") + F.col("gain"))
     per_bag = joined.groupBy("bag").agg(
         F.first("flat").alias("flat"),
@@ -181,9 +179,14 @@ def bag_totals(scores: DataFrame, model: ComplementModel) -> DataFrame:
 def attribute(df: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
     """Result columns for the rows of a frame from `with_bag`: RES_Previsto, RES_Confianca,
     RES_Top1..k with probabilities, RES_Entropia, RES_Margem."""
-    scores = bag_scores(bag_tokens(df), model, k)
+    # A bag fans out to every class it shares a token with, so tasks sized by the bags alone would be
+    # too large. An explicit, wider partitioning is kept as it is by AQE.
+    width = FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = bag_tokens(df).repartition(width, "bag")
+    lengths = bag_lengths(tokens, model)
+    scores = bag_scores(tokens, lengths, model, k)
     best = top_classes(scores, ["bag"], k)
-    totals = bag_totals(scores, model)
+    totals = bag_totals(scores, length_sums(lengths, model))
     probability = {r: F.exp(F.col(f"Top{r}_p") + F.col("shift")) for r in range(1, k + 1)}
     per_bag = (
         best.join(totals, "bag")

@@ -65,25 +65,31 @@ def value_per_kg(cols: ImportColumns = IMPORTS) -> Column:
 
 
 def kpi_undervaluation(
-    df: DataFrame, cols: ImportColumns = IMPORTS, scope: str | None = None, method: str = "exact"
+    df: DataFrame,
+    cols: ImportColumns = IMPORTS,
+    scope: str | None = None,
+    method: str = "exact",
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """KPI_Subvalorizacao: how far value/kg lies below the median; also FE_ValorPorKg.
 
-    The median is over the whole table, or per value of `scope`.
+    The median is over the whole table, or per value of `scope`; `base` is the table it is taken from
+    where `df` already carries joins the median does not need.
     """
+    base = df if base is None else base
     if not _has(df, cols.value, cols.weight):
         return df.withColumns({"KPI_Subvalorizacao": F.lit(0.0), "FE_ValorPorKg": F.lit(0.0)})
     vk = value_per_kg(cols)
     wanted = {"median_vk": 0.5}
     if scope is None:
-        out = df.withColumn("median_vk", quantiles(df, vk, wanted, method=method).scalar())
+        out = df.withColumn("median_vk", quantiles(base, vk, wanted, method=method).scalar())
     else:
-        per_scope = quantiles(df, vk, wanted, [scope], method).withColumnRenamed(scope, "scope_key")
+        per_scope = quantiles(base, vk, wanted, [scope], method).withColumnRenamed(scope, "scope_key")
         out = df.join(per_scope, F.col(scope).eqNullSafe(F.col("scope_key")), "left").drop("scope_key")
-    base = F.when(F.col("median_vk") != 0, F.col("median_vk")).otherwise(F.lit(1.0))
+    unit = F.when(F.col("median_vk") != 0, F.col("median_vk")).otherwise(F.lit(1.0))
     return out.withColumns(
         {
-            "KPI_Subvalorizacao": clip01((F.col("median_vk") - vk) / base),
+            "KPI_Subvalorizacao": clip01((F.col("median_vk") - vk) / unit),
             "FE_ValorPorKg": F.coalesce(vk, F.lit(0.0)),
         }
     ).drop("median_vk")
@@ -119,7 +125,7 @@ def importer_stats(df: DataFrame, cols: ImportColumns = IMPORTS) -> DataFrame:
     return df.groupBy(cols.importer).agg(F.avg(value).alias("imp_mean"), F.stddev_samp(value).alias("imp_std"))
 
 
-def kpi_surge(df: DataFrame, cols: ImportColumns = IMPORTS) -> DataFrame:
+def kpi_surge(df: DataFrame, cols: ImportColumns = IMPORTS, base: DataFrame | None = None) -> DataFrame:
     """KPI_SurgeVolume: value above the importer's mean, in units of three standard deviations.
 
     Statistics are aggregated per importer (map-side first) and joined back, so one importer with
@@ -127,7 +133,7 @@ def kpi_surge(df: DataFrame, cols: ImportColumns = IMPORTS) -> DataFrame:
     """
     if not _has(df, cols.importer, cols.value):
         return df.withColumn("KPI_SurgeVolume", F.lit(0.0))
-    stats = importer_stats(df, cols)
+    stats = importer_stats(df if base is None else base, cols)
     spread = F.when(F.col("imp_std") != 0, F.col("imp_std")) * F.lit(SURGE_LIMIT)
     return (
         df.join(stats, cols.importer, "left")
@@ -207,14 +213,15 @@ def business_kpi_columns(
 ) -> DataFrame:
     """All KPIs that need no text mining or neighbour search."""
     inputs = input_columns or df.columns
-    out = kpi_undervaluation(df, cols)
-    out = kpi_hs_disparity(out, cols)
-    out = kpi_surge(out, cols)
+    out = kpi_hs_disparity(df, cols)
     out = kpi_eta(out, cols)
     out = kpi_completeness(out, inputs)
     out = kpi_registry_status(out, cols)
     out = kpi_company_age(out, cols)
-    return kpi_credit(out, cols)
+    out = kpi_credit(out, cols)
+    # Table-wide statistics come from the plain input, and last: they make the plan large.
+    out = kpi_surge(out, cols, df)
+    return kpi_undervaluation(out, cols, base=df)
 
 
 def with_risk(df: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

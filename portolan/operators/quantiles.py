@@ -27,9 +27,12 @@ def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None, bucke
     by = by or []
     counts = value_counts(df, value, by)
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
-    cuts = counts.agg(F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"))
-    placed = counts.withColumn("cuts", cuts.scalar()).select(
-        *by, "value", "n", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket")
+    # The sketch also sums n, so that it reads the very shuffle the ranking reads: one scan feeds both.
+    sketch = counts.agg(
+        F.struct(F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"), F.sum("n").alias("rows")).alias("s")
+    )
+    placed = counts.withColumn("s", sketch.scalar()).select(
+        *by, "value", "n", F.size(F.filter("s.cuts", lambda c: c < F.col("value"))).alias("bucket")
     )
     earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

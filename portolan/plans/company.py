@@ -56,5 +56,5 @@ def company_report(df: DataFrame) -> DataFrame:
         "topk_registros",
         F.coalesce("outliers", F.lit(0)).alias("outliers_encontrados"),
         "k_min",
-        half_even(F.col("ece"), 6).alias("ece"),
+        half_even(F.col("ece"), 9).alias("ece"),
     )

@@ -46,10 +46,8 @@ def _bags(spark, d):
 )
 def cnb(spark, d):
     rows = _bags(spark, d)
-    # A fitted model is stored and loaded: scoring reads three small tables instead of training again.
-    path = scratch_path(spark, "model")
-    a.complement_model(a.complement_counts(rows, "cnpj")).save(path)
-    model = a.ComplementModel.load(spark, path)
+    # The trained counts are stored, as the lots of a stream store theirs: scoring does not train again.
+    model = a.complement_model(_stored(spark, a.complement_counts(rows, "cnpj"), "counts"))
     return a.attribute(rows, model).drop("descricao")
 
 

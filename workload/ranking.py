@@ -194,7 +194,7 @@ def candidates(spark, d):
     return validate_candidates(_guesses(spark, d)).select("chave_item", *flags)
 
 
-_BEST = "CNPJ_Confianca DESC, RiskScore DESC, CNPJ_Previsto"
+_BEST = "CNPJ_Confianca DESC NULLS LAST, RiskScore DESC NULLS LAST, CNPJ_Previsto NULLS LAST"
 
 
 def _selection_sql(where: str) -> str:
@@ -266,7 +266,7 @@ _PROB = "greatest(0.01::DOUBLE, least(0.99::DOUBLE, score))"
       CASE WHEN upper(r) LIKE '%LTDA%' THEN 'Ltda' WHEN upper(r) LIKE '%S/A%' OR upper(r) LIKE '%SA%' THEN 'S/A'
            WHEN upper(r) LIKE '%EIRELI%' THEN 'EIRELI' WHEN upper(r) LIKE '%ME%' THEN 'ME' ELSE 'DESCONHECIDO' END AS tipo,
       len(string_split(r, ' '))::INTEGER AS palavras, length(r)::INTEGER AS tamanho, total_registros, ncms_distintos, paises_distintos,
-      {he("vm", 4)} AS vmle_medio, {he("p95", 4)} AS vmle_p95, topk_registros, coalesce(outliers, 0) AS outliers_encontrados, k_min, {he("ece", 6)} AS ece
+      {he("vm", 4)} AS vmle_medio, {he("p95", 4)} AS vmle_p95, topk_registros, coalesce(outliers, 0) AS outliers_encontrados, k_min, {he("ece", 9)} AS ece
     FROM base JOIN best USING (cnpj) LEFT JOIN outl USING (cnpj) JOIN anon USING (cnpj) JOIN err USING (cnpj)""",
 )
 def company(spark, d):
