@@ -27,16 +27,14 @@ def text_blob(*cols: Column) -> Column:
     return F.regexp_replace(F.lower(text_concat(*cols)), r"[^a-z0-9]", "")
 
 
-def char_ngrams(blob: Column, n_min: int = 2, n_max: int = 5, padded: bool = False) -> Column:
-    """Array of all overlapping character n-grams.
+def char_windows(blob: Column, width: int = 5, padded: bool = False) -> Column:
+    """Array with, for every position, the next `width` characters (fewer at the end).
 
-    A look-ahead match walks the text once per n, where substring() at every position would
-    walk it from its start each time. padded=True puts one blank on either side first.
+    A look-ahead match walks the text once, where substring() at every position would walk it from
+    its start each time. padded=True puts one blank on either side first.
     """
     source = F.when(F.length(blob) > 0, F.concat(F.lit(" "), blob, F.lit(" "))).otherwise(blob) if padded else blob
-    return F.concat(
-        *[F.regexp_extract_all(source, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1)) for n in range(n_min, n_max + 1)]
-    )
+    return F.regexp_extract_all(source, F.lit("(?s)(?=(.{1,%d}))" % width), F.lit(1))
 
 
 # Accented Latin letters and what they are without the accent.

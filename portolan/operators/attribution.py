@@ -121,7 +121,7 @@ def bag_lengths(tokens: DataFrame, model: ComplementModel) -> DataFrame:
 
 
 def bag_scores(tokens: DataFrame, lengths: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
-    """(bag, class, len, constant, gain, base, p): scores that hold the exact top k of every bag."""
+    """(bag, class, gain, base, p) and the columns of `lengths`: scores that hold the exact top k of every bag."""
     shared = tokens.join(model.pairs, "token").select("bag", "class", (F.col("x") * F.col("gain")).alias("gain"))
     others = lengths.select("bag", F.explode(_fallback(model, k)).alias("class"), F.lit(0.0).alias("gain"))
     gains = shared.union(others).groupBy("bag", "class").agg(F.sum("gain").alias("gain"))
@@ -129,7 +129,6 @@ def bag_scores(tokens: DataFrame, lengths: DataFrame, model: ComplementModel, k:
         gains.join(model.classes, "class")
         .join(lengths, "bag")
         .withColumn("p", F.col("len") * F.col("base") - F.col("constant") + F.col("gain"))
-        .select("bag", "class", "len", "constant", "gain", "base", "p")
     )
 
 
@@ -156,11 +155,11 @@ def length_sums(lengths: DataFrame, model: ComplementModel) -> DataFrame:
     )
 
 
-def bag_totals(scores: DataFrame, sums: DataFrame) -> DataFrame:
+def bag_totals(scores: DataFrame) -> DataFrame:
     """(bag, shift, spread): what turns a score into a log probability over all classes, and the entropy."""
-    joined = scores.join(sums, "len").withColumn("s", F.col("len") * F.col("base") - F.col("top"))
+    placed = scores.withColumn("s", F.col("len") * F.col("base") - F.col("top"))
     raised = F.exp(F.col("s") + F.col("gain"))
-    per_bag = joined.groupBy("bag").agg(
+    per_bag = placed.groupBy("bag").agg(
         F.first("flat").alias("flat"),
         F.first("flat_s").alias("flat_s"),
         F.first("top").alias("top"),
@@ -184,9 +183,11 @@ def attribute(df: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
     width = FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = bag_tokens(df).repartition(width, "bag")
     lengths = bag_lengths(tokens, model)
+    # Sums by length are joined to the bags, not to their far more numerous (bag, class) scores.
+    lengths = lengths.join(length_sums(lengths, model), "len")
     scores = bag_scores(tokens, lengths, model, k)
     best = top_classes(scores, ["bag"], k)
-    totals = bag_totals(scores, length_sums(lengths, model))
+    totals = bag_totals(scores)
     probability = {r: F.exp(F.col(f"Top{r}_p") + F.col("shift")) for r in range(1, k + 1)}
     per_bag = (
         best.join(totals, "bag")

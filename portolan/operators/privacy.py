@@ -247,23 +247,37 @@ def closest_record_distance(
     o = hash_sample(original.select(*key, *columns), key, sample).select(*numbers)
     s = hash_sample(synthetic.select(*key, *columns), key, sample).select(*numbers)
     names = [f"x{i}" for i in range(len(columns))]
-    fitted = o.agg(
-        F.struct(
-            *[F.avg(n).alias(f"m{n}") for n in names],
-            *[(F.stddev_pop(n) + F.lit(1e-9)).alias(f"d{n}") for n in names],
+    scale = {n: (F.col(f"f.m{n}"), F.col(f"f.d{n}")) for n in names}
+    fitted = (
+        o.agg(
+            F.struct(
+                *[F.avg(n).alias(f"m{n}") for n in names],
+                *[(F.stddev_pop(n) + F.lit(1e-9)).alias(f"d{n}") for n in names],
+            ).alias("f"),
             F.collect_list(F.struct(*names)).alias("points"),
-        ).alias("f")
+        )
+        .select(
+            "f",
+            F.transform(
+                "points", lambda q: F.struct(*[((q[n] - scale[n][0]) / scale[n][1]).alias(n) for n in names])
+            ).alias("points"),
+        )
+        .select(F.struct("f", "points").alias("fit"))
     )
 
     def squared(point: Column) -> Column:
         total = F.lit(0.0)
         for n in names:
-            diff = (F.col(n) - F.col(f"f.m{n}")) / F.col(f"f.d{n}") - (point[n] - F.col(f"f.m{n}")) / F.col(f"f.d{n}")
-            total = total + diff * diff
+            total = total + (F.col(n) - point[n]) * (F.col(n) - point[n])
         return total
 
-    nearest = s.withColumn("f", fitted.scalar()).select(
-        F.sqrt(F.array_min(F.transform("f.points", squared))).alias("d")
+    # The sampled rows are spread out again: each is compared with every sampled original.
+    width = int(synthetic.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nearest = (
+        s.repartition(min(width, sample))
+        .withColumn("fit", fitted.scalar())
+        .select("fit.points", *[((F.col(n) - F.col(f"fit.f.m{n}")) / F.col(f"fit.f.d{n}")).alias(n) for n in names])
+        .select(F.sqrt(F.array_min(F.transform("points", squared))).alias("d"))
     )
     return nearest.agg(
         F.min("d").alias("dcr_min"), F.median("d").alias("dcr_med"), F.percentile("d", F.lit(0.05)).alias("dcr_p05")
