@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan.functions.numeric import half_even
@@ -215,9 +215,10 @@ def soft_vote(models: list[tuple[DataFrame, float]], row: str = "row", label: st
     for scores, weight in models:
         part = scores.select(row, label, (F.col("p") * F.lit(float(weight))).alias("p"))
         votes = part if votes is None else votes.unionByName(part)
+    # A row's window holds one entry per class, at most the class cap.
+    total = F.sum("p").over(Window.partitionBy(row))
     summed = votes.groupBy(row, label).agg(F.sum("p").alias("p"))
-    totals = votes.groupBy(row).agg(F.sum("p").alias("total"))
-    return summed.join(totals, row).select(row, label, (F.col("p") / (F.col("total") + F.lit(1e-12))).alias("p"))
+    return summed.select(row, label, (F.col("p") / (total + F.lit(1e-12))).alias("p"))
 
 
 def result_columns(scores: DataFrame, row: str = "row", label: str = "class", k: int = TOP) -> DataFrame:

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from portolan.functions.numeric import bind
+
+BUCKETS = 1024
+STRIDE = 32
 SKETCH_ACCURACY = 10_000
 
 
@@ -22,6 +25,15 @@ def value_counts(df: DataFrame, value: Column, by: list[str] | None = None) -> D
     )
 
 
+def _bucket(value: Column) -> Column:
+    """How many of s.cuts lie below the value: first among every 32nd cut, then among the 32 after it."""
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    return bind(
+        below(F.col("s.coarse")),
+        lambda k: k * STRIDE + below(F.slice(F.col("s.cuts"), k * STRIDE + 1, F.lit(STRIDE))),
+    )
+
+
 def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(by..., value, n, before, total): rows with a smaller value, and all rows, per group."""
     by = by or []
@@ -29,11 +41,13 @@ def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None, bucke
     shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
     # The sketch also sums n, so that it reads the very shuffle the ranking reads: one scan feeds both.
     sketch = counts.agg(
-        F.struct(F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"), F.sum("n").alias("rows")).alias("s")
-    )
-    placed = counts.withColumn("s", sketch.scalar()).select(
-        *by, "value", "n", F.size(F.filter("s.cuts", lambda c: c < F.col("value"))).alias("bucket")
+        F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"), F.sum("n").alias("rows")
+    ).select(
+        F.struct(
+            "cuts", F.filter("cuts", lambda c, i: i % STRIDE == STRIDE - 1).alias("coarse"), "rows"
+        ).alias("s")
     )
+    placed = counts.withColumn("s", sketch.scalar()).select(*by, "value", "n", _bucket(F.col("value")).alias("bucket"))
     earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*by, "bucket")

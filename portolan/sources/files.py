@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,18 +90,66 @@ def file_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, read on the driver."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
+    try:
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        return reader.readLine() or ""
+    finally:
+        stream.close()
+
+
+def delimiter_of(line: str) -> str:
+    return max(DELIMITERS, key=line.count)
+
+
+def file_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+# The first path element below the folder, as a file or as a folder of part files.
+def _source_name(folder: str) -> Column:
+    base = file_name(folder)
+    return F.regexp_extract("_metadata.file_path", rf"/\Q{base}\E/([^/]+)", 1)
+
+
+def _as_text(df: DataFrame, folder: str) -> DataFrame:
+    return df.select(
+        _source_name(folder).alias("arquivo"), *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in df.columns]
+    )
+
+
 def read_folder(spark: SparkSession, folder: str, id_column: str = "cnpj") -> DataFrame:
-    """All readable files in name order as one table of text columns with `arquivo`; columns missing
-    from a file are NULL. Unreadable files are skipped when spark.sql.files.ignoreCorruptFiles is set."""
-    out = None
-    for path in list_files(spark, folder):
-        if not path.lower().endswith(READABLE):
-            continue
-        df = read_file(spark, path, id_column)
-        df = df.select(F.lit(file_name(path)).alias("arquivo"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    """All readable files as one table of text columns with `arquivo`; columns missing from a file are
+    NULL. Unreadable files are skipped when spark.sql.files.ignoreCorruptFiles is set.
+
+    One read covers all Parquet files, one all text bodies, and one each set of CSV files with equal
+    headers: the plan does not grow with the number of files.
+    """
+    paths = [p for p in list_files(spark, folder) if p.lower().endswith(READABLE)]
+    parts = []
+    headers: dict[str, list[str]] = {}
+    for path in paths:
+        if path.lower().endswith(".csv"):
+            headers.setdefault(first_line(spark, path), []).append(path)
+    for header, group in headers.items():
+        parts.append(_as_text(spark.read.csv(group, sep=delimiter_of(header), header=True, inferSchema=False), folder))
+    parquet = [p for p in paths if p.lower().endswith(".parquet")]
+    if parquet:
+        parts.append(_as_text(spark.read.option("mergeSchema", True).parquet(*parquet), folder))
+    texts = [p for p in paths if p.lower().endswith(".txt")]
+    if texts:
+        bodies = spark.read.text(texts, wholetext=True).select(_source_name(folder).alias("arquivo"), "value")
+        parts.append(
+            text_rows(bodies, "value", ["arquivo"]).select("arquivo", F.col("cnpj").alias(id_column), F.col("texto").alias("TextoPDF"))
+        )
+    if not parts:
         raise FileNotFoundError(f"no readable file in {folder}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 

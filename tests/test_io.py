@@ -130,3 +130,10 @@ def test_id_column_and_roles(spark):
 def test_narrowed(spark):
     df = spark.range(10).select("id", (F.col("id") * 40000).alias("big"), (F.col("id") / 3).alias("d"), (F.col("id") / 2).alias("f"))
     assert dict(narrowed(df).dtypes) == {"id": "tinyint", "big": "int", "d": "double", "f": "float"}
+
+
+def test_arrow_batches_keep_every_row(spark):
+    from portolan.operators.batches import map_arrow
+
+    df = map_arrow(spark.range(2500).select(F.col("id").alias("n")), lambda batch: batch, "n long")
+    assert df.count() == 2500 and df.agg(F.sum("n")).first()[0] == 2499 * 1250

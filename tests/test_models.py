@@ -197,3 +197,18 @@ def test_zero_weight_and_absent_columns(spark):
     df = spark.createDataFrame([("1", 0.0), ("4", 2.0), ("x", 1.0)], "vmle_dolar string, peso_liquido double")
     assert [r["KPI_Subvalorizacao"] for r in kpi_undervaluation(df).collect()] == [0.0, 0.0, 0.0]
     assert kpi_undervaluation(df.drop("peso_liquido")).first()["FE_ValorPorKg"] == 0.0
+
+
+def test_bundle_reload_gives_equal_scores(spark, table, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from portolan.operators.ml import fit_logistic, fit_preprocessor, pooled_category
+    from portolan.sinks.models import load_bundle, save_bundle
+
+    df = pooled_category(table.withColumn("label", (F.col("vmle_dolar") > 5000).cast("double")), "ncm")
+    pre = fit_preprocessor(df, ["ncm"], ["vmle_dolar", "peso_liquido"])
+    model = PipelineModel(stages=[*pre.stages, fit_logistic(pre.transform(df))])
+    save_bundle(model, spark.createDataFrame([("columns", "ncm")], "k string, v string"), str(tmp_path / "b"))
+    again, metadata = load_bundle(spark, str(tmp_path / "b"))
+    scores = lambda m: [r[0] for r in m.transform(df).orderBy("vmle_dolar").select("probability").collect()]
+    assert scores(model) == scores(again) and metadata.first()["v"] == "ncm"

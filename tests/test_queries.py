@@ -30,7 +30,7 @@ def test_query_equals_sql(spark, small, con, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["lof_blocks", "risk_with_outliers", "copula_sample", "auto_calibrate", "neural_model"])
+@pytest.mark.parametrize("name", ["lof_blocks", "risk_with_outliers", "copula_sample", "auto_calibrate", "neural_model", "base_run"])
 def test_query_gives_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
