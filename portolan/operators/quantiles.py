@@ -38,7 +38,7 @@ def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None, bucke
     """(by..., value, n, before, total): rows with a smaller value, and all rows, per group."""
     by = by or []
     counts = value_counts(df, value, by)
-    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    shares = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
     # The sketch also sums n, so that it reads the very shuffle the ranking reads: one scan feeds both.
     sketch = counts.agg(
         F.percentile_approx("value", shares, SKETCH_ACCURACY).alias("cuts"), F.sum("n").alias("rows")
