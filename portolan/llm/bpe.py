@@ -14,6 +14,7 @@ encoded whole. An empty table gives an empty result. Only the id and the text ar
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from functools import lru_cache
 
@@ -65,6 +66,7 @@ class Codec:
                 self.shorter[rank] = next((ranks[x] for x in starts if x in ranks), -1)
         self.automaton.make_automaton()
         self.sizes = [len(t) for t in self.tokens]
+        self.codes = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.fits = Cache(self._fits, 1_000_000)
         self.pieces = Cache(self._piece)
         self.chunks = Cache(self._chunk)
@@ -115,7 +117,7 @@ class Codec:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece), "<u4").tobytes()
+        return b"".join(map(self.codes.__getitem__, self.encode_piece(piece)))
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk)))
@@ -161,3 +163,22 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
         return lambda column: {"decoded": [c.decode(x or b"") for x in column.to_pylist()]}
 
     return with_columns(df, setup, "decoded binary", ids_col, drop=False)
+
+
+def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again in one pass, without sending the ids."""
+
+    def setup():
+        c = codec(path, pattern)
+
+        def func(column: pa.Array) -> dict:
+            ids = [c.encode(x) for x in column.to_pylist()]
+            return {
+                "n_tokens": [len(x) // 4 for x in ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in ids],
+            }
+
+        return func
+
+    return with_columns(texts(df, id_col, text_col), setup, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,9 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(documents(spark, sf_dir), path, PATTERN)
-    both = bpe.decode(encoded, path, PATTERN)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(documents(spark, sf_dir), path, PATTERN)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
