@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,9 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 def repeated_windows(t: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: int = BITS) -> DataFrame:
     """doc_id, th (hash of the text), starts: the word numbers at which repeated windows start."""
     sent = t.sparkSession.sparkContext.broadcast(sketch(t, width, gram, bits))
-    # `at` is null in a row that stands for windows settled in their slice.
-    schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 long").fields, t.schema["doc_id"], *T.StructType.fromDDL("th long, at int, settled boolean").fields])
+    # A row is a window that no other in its slice equals (`at`), word of one settled in the slice (neither), or the
+    # settled starts of a text there (`own`).
+    schema = T.StructType([*T.StructType.fromDDL("k1 long, k2 long").fields, t.schema["doc_id"], *T.StructType.fromDDL("th long, at int, own array<int>").fields])
 
     def setup():
         found = sent.value
@@ -94,21 +95,22 @@ def repeated_windows(t: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
             settled = np.bincount(group)[group] > 1
             doc = words.doc[starts]
             at = starts - words.first[doc]
-            # A group in this slice tells others of itself once, and its own windows need no key.
-            head = new & settled
-            first = np.concatenate([np.flatnonzero(~settled), np.flatnonzero(head), np.flatnonzero(settled)])
-            kind = np.repeat([0, 1, 2], [(~settled).sum(), head.sum(), settled.sum()])
-            ids = part.column("doc_id").take(pa.array(doc[first]))
-            th = part.column("th").take(pa.array(doc[first]))
-            own = kind == 2
+            first = np.concatenate([np.flatnonzero(~settled), np.flatnonzero(new & settled)])
+            alone = np.arange(len(first)) < (~settled).sum()
+            texts_of = np.sort(doc[settled])
+            who, begin = np.unique(texts_of, return_index=True)
+            lists = np.split(at[settled][np.argsort(doc[settled], kind="stable")], begin[1:]) if len(who) else []
+            none = [None] * len(who)
+            source = pa.array(np.concatenate([doc[first], who]))
+            th = part.column("th").take(source)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(k1[first].view(np.int64), mask=own),
-                    pa.array(k2[first].view(np.int64), mask=own),
-                    ids,
+                    pa.concat_arrays([pa.array(k1[first].view(np.int64)), th.slice(len(first))]),
+                    pa.concat_arrays([pa.array(k2[first].view(np.int64)), pa.array(np.full(len(who), -1))]),
+                    part.column("doc_id").take(source),
                     th,
-                    pa.array(at[first].astype(np.int32), mask=kind == 1),
-                    pa.array(own),
+                    pa.concat_arrays([pa.array(at[first].astype(np.int32), mask=~alone), pa.array(none, pa.int32())]),
+                    pa.array([None] * len(first) + lists, pa.list_(pa.int32())),
                 ],
                 schema.names,
             )
@@ -116,12 +118,13 @@ def repeated_windows(t: DataFrame, width: int = WIDTH, gram: int = GRAM, bits: i
         return func
 
     rows = map_slices(t, setup, schema)
-    # Every key has at most one row a slice here, so that counting beside the rows sorts no hot group.
-    open_rows = rows.where("NOT settled")
-    known = open_rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("at").isNull()).alias("told")).where("n > 1 OR told")
-    met = open_rows.where("at IS NOT NULL").join(known, ["k1", "k2"], "left_semi")
-    both = rows.where("settled").select("doc_id", "th", "at").unionByName(met.select("doc_id", "th", "at"))
-    return both.groupBy("doc_id", "th").agg(F.collect_set("at").alias("starts"))
+    # One shuffle: a key has one row a slice at most, however many texts hold it.
+    same = Window.partitionBy("k1", "k2")
+    told = F.max(F.col("at").isNull() & F.col("own").isNull()).over(same)
+    counted = rows.select("doc_id", "th", "at", "own", F.count(F.lit(1)).over(same).alias("n"), told.alias("told"))
+    met = counted.where("own IS NOT NULL OR at IS NOT NULL AND (n > 1 OR told)")
+    each = met.select("doc_id", "th", F.explode(F.coalesce("own", F.array("at"))).alias("at"))
+    return each.groupBy("doc_id", "th").agg(F.collect_set("at").alias("starts"))
 
 
 def with_starts(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
