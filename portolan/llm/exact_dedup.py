@@ -75,8 +75,9 @@ def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = marked.where("may_repeat")
     # The smallest struct: most code points, then the smallest id (nulls last), then the first row.
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
-    groups = again.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    # A large group is one hot key of this join: a plain sort-merge join, whose partitions Spark splits at run time.
+    # A large group is one hot key of this join. Its groups are a table, so that both sides come from shuffles of their
+    # own and Spark can split a skewed partition at run time.
+    groups = stored(again.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     joined = again.join(groups, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
     )
