@@ -13,16 +13,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Rounds of large-star and small-star: every node hands its smallest neighbour to its larger ones, then to its smaller
     ones, until nothing changes. Each round is two aggregations and joins on the edges and ends in a table in the shared
-    folder. A node with many neighbours is a hot key of a plain join, which Spark splits at run time.
+    folder. A node with many neighbours is a hot key of the joins: the minima are tables, so that Spark can split it.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large.where("a <> b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("e"), "m")
         small = small.select(F.col("e.x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = stored(small, "edges")

@@ -48,6 +48,11 @@ def may_repeat(hashes: DataFrame, bits: int = BITS) -> Repeats:
     return repeats(hashes.mapInArrow(count, SCHEMA), bits, FUNCTIONS, False)
 
 
+def may_be_among(df: DataFrame, column: str, hashes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Adds `may_repeat`: false only for rows whose hash is not in `hashes`. For joins in which few rows have a partner."""
+    return flagged(df, may_repeat(hashes.unionByName(hashes), bits), column)  # each hash twice, so that all are "seen again"
+
+
 def flagged(df: DataFrame, found: Repeats, column: str) -> DataFrame:
     """Second pass: adds `may_repeat`, by the filter, from a column of hashes."""
     sent = df.sparkSession.sparkContext.broadcast(found)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portolan.llm.components import components
+from portolan.llm.exact_dedup import may_be_among
 from portolan.llm.hashing import Words, mix
 from portolan.llm.support import packed, sorted_groups, stored, texts, unpacked, with_columns
 
@@ -241,8 +242,11 @@ def labelled(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, thresh
     wanted = placed.join(nodes.drop("bands", "least_id"), placed["node"] == nodes["key"]).select(
         "root", "blocks", "own", "key", "n_docs", F.col("doc_id").alias("node_id"), F.col("th").alias("node_th"), "sig"
     )
-    same = (t["th"] == F.col("node_th")) & t["doc_id"].eqNullSafe(F.col("node_id"))
-    held = t.join(wanted, same).select("root", "blocks", "own", "key", "n_docs", "sig", "text")
+    wanted = stored(wanted, "wanted")
+    # Texts of no candidate stay where they are: a filter of fixed size stands before the join.
+    near = may_be_among(t, "th", wanted.select("node_th")).where("may_repeat").drop("may_repeat")
+    same = (near["th"] == F.col("node_th")) & near["doc_id"].eqNullSafe(F.col("node_id"))
+    held = near.join(wanted, same).select("root", "blocks", "own", "key", "n_docs", "sig", "text")
 
     def setup():
         return lambda column: {"shingles": [s.tobytes() for s in shingle_sets(column, k)]}
@@ -266,8 +270,8 @@ def labelled(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, thresh
     figures = members.join(whole, "root").join(counts, "key", "left").select(
         "key", "root", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")
     )
-    # A large class of copies is one hot key here: a plain join, whose partitions Spark splits at run time.
-    return signed.select("doc_id", "th", "key").join(figures, "key", "left")
+    # A large class of copies is one hot key here. The figures are a table, so that Spark can split it at run time.
+    return signed.select("doc_id", "th", "key").join(stored(figures, "figures"), "key", "left")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -285,11 +289,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     found = stored(labelled(df, id_col, text_col, **options).where("class_size > 1").select("doc_id", "th", "root").distinct(), "near")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("best"))
     rows = packed(df, id=F.col(id_col), hash=F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    marked = may_be_among(rows, "hash", found.select("th"))
+    members = marked.where("may_repeat")  # only these are shuffled
 
     def same(other: DataFrame):
-        return rows["id"].eqNullSafe(other["doc_id"]) & (rows["hash"] == other["th"])
+        return members["id"].eqNullSafe(other["doc_id"]) & (members["hash"] == other["th"])
 
-    alone = rows.join(found, same(found), "left_anti").select("row")
+    clear = marked.where("NOT may_repeat").select("row")
+    alone = members.join(found, same(found), "left_anti").select("row")
     chosen = best.select("root", "best.doc_id", "best.th")
-    kept = rows.join(chosen, same(chosen)).groupBy("root").agg(F.first("row").alias("row")).select("row")
-    return unpacked(alone.unionByName(kept))
+    kept = members.join(chosen, same(chosen)).groupBy("root").agg(F.first("row").alias("row")).select("row")
+    return unpacked(clear.unionByName(alone).unionByName(kept))
