@@ -30,6 +30,8 @@ from portolan.llm.bpe import LOOSE, Cache
 from portolan.llm.support import map_slices, stored, texts
 
 LANE_ROWS = 20_000
+#: Small: the cache stays in idle workers beside those of other stages.
+CACHED = 120_000
 
 
 class Encoder:
@@ -43,7 +45,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(letter.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-        self.chunks = Cache(self._chunk)
+        self.chunks = Cache(self._chunk, CACHED)
 
     def _chunk(self, chunk: str) -> bytes:
         return np.array(self.library.encode_ordinary(chunk), "<u4").tobytes()

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from portolan.session import scratch_path
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
