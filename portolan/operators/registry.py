@@ -6,7 +6,7 @@ spark.sql.autoBroadcastJoinThreshold, and AQE splits skewed partitions otherwise
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,22 +28,32 @@ def join_registry(df: DataFrame, registry: DataFrame, key: str = "cnpj") -> Data
     return df.join(with_suffix(registry, df.columns, [key]), key, "left")
 
 
-def missing_keys(df: DataFrame, registry: DataFrame, key: str = "cnpj", budget: int | None = LOOKUP_BUDGET) -> DataFrame:
-    """Distinct ids not in the registry, at most `budget` of them in id order."""
+def missing_keys(df: DataFrame, registry: DataFrame, key: str = "cnpj", budget: int | None = None) -> DataFrame:
+    """Distinct ids not in the registry; with a `budget` (published: LOOKUP_BUDGET) the first so many in id order."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     absent = keys.join(registry.select(key), key, "left_anti")
     return absent if budget is None else absent.orderBy(key).limit(budget)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "cnpj") -> DataFrame:
-    """Both tables by name, the new row winning; `load_seq` orders loads where both have it."""
+    """One row per id, from the latest load. Rows without an id are no updates of each other and all stay.
+
+    `load_seq` numbers the loads: `new` without it is one load after all of `old`. It is kept where a table brings it.
+    Rows of one load that share an id are ordered by all their values, so that the result doesn't depend on chance.
+    """
     seq = "load_seq"
+    given = seq in old.columns or seq in new.columns
     if seq not in old.columns:
-        old = old.withColumn(seq, F.lit(0))
-        new = new.withColumn(seq, F.lit(1))
+        old = old.withColumn(seq, F.lit(0).cast("long"))
+    if seq not in new.columns:
+        last = old.agg(F.coalesce(F.max(seq), F.lit(0)).alias("last"))
+        new = new.withColumn(seq, last.scalar() + 1)
     rows = old.unionByName(new, allowMissingColumns=True)
-    latest = Window.partitionBy(key).orderBy(F.desc(seq))
-    return rows.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") == 1).drop("rn", seq)
+    fields = [c for c in rows.columns if c != key]
+    order = F.struct(F.col(seq).isNotNull().alias("known"), F.col(seq).alias("s"), F.to_json(F.struct(*fields)).alias("t"))
+    latest = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("row")).select(key, "row.*")
+    out = latest.unionByName(rows.where(F.col(key).isNull())).select(rows.columns)
+    return out if given else out.drop(seq)
 
 
 def merge_providers(providers: list[DataFrame], key: str = "cnpj") -> DataFrame:

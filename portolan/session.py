@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,13 @@ def build_session(master: str = "local[8]", app: str = "portolan", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The cluster's shared folder from spark.checkpoint.dir. A temporary folder stands in on a local master only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 

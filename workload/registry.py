@@ -22,7 +22,7 @@ def registry_join(spark, d):
 
 @query(
     "missing_keys",
-    f"""WITH {IMPORTS}, {REGISTRY} SELECT DISTINCT cnpj FROM imports WHERE cnpj NOT IN (SELECT cnpj FROM registry) ORDER BY cnpj LIMIT 500""",
+    f"""WITH {IMPORTS}, {REGISTRY} SELECT DISTINCT cnpj FROM imports WHERE cnpj NOT IN (SELECT cnpj FROM registry)""",
 )
 def missing(spark, d):
     return r.missing_keys(imports(spark, d, ("cnpj",)), registry(spark, d))
