@@ -66,19 +66,26 @@ def is_active(status: Column, match: str = "substring") -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+# The published steps of the credit score.
+CREDIT_BASE, ACTIVE_BONUS, CLOSED_PENALTY = 0.5, 0.2, -0.3
+OLD_YEARS, OLD_BONUS, YOUNG_YEARS, YOUNG_PENALTY = 10, 0.15, 2, -0.15
+LARGE_CAPITAL, LARGE_BONUS, SMALL_CAPITAL, SMALL_PENALTY = 1_000_000, 0.1, 10_000, -0.05
+MANY_PARTNERS, PARTNERS_BONUS = 2, 0.05
+
+
 def credit_score(status: Column, age: Column, capital: Column, partners: Column, match: str = "substring") -> Column:
     """Heuristic credit score in [0, 1]; missing age, capital and partners count as 0."""
     lower = F.lower(F.coalesce(status, F.lit("")))
     years = F.coalesce(age, F.lit(0.0))
     money = F.coalesce(capital, F.lit(0.0))
     return clip01(
-        F.lit(0.5)
-        + F.when(is_active(status, match), 0.2)
-        .when(lower.contains("baixada") | lower.contains("suspensa"), -0.3)
+        F.lit(CREDIT_BASE)
+        + F.when(is_active(status, match), ACTIVE_BONUS)
+        .when(lower.contains("baixada") | lower.contains("suspensa"), CLOSED_PENALTY)
         .otherwise(0.0)
-        + F.when(years >= 10, 0.15).when(years < 2, -0.15).otherwise(0.0)
-        + F.when(money > 1_000_000, 0.1).when(money < 10_000, -0.05).otherwise(0.0)
-        + F.when(F.coalesce(partners, F.lit(0)) > 2, 0.05).otherwise(0.0)
+        + F.when(years >= OLD_YEARS, OLD_BONUS).when(years < YOUNG_YEARS, YOUNG_PENALTY).otherwise(0.0)
+        + F.when(money > LARGE_CAPITAL, LARGE_BONUS).when(money < SMALL_CAPITAL, SMALL_PENALTY).otherwise(0.0)
+        + F.when(F.coalesce(partners, F.lit(0)) > MANY_PARTNERS, PARTNERS_BONUS).otherwise(0.0)
     )
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from portolan.operators.candidates import delivery, select_candidates
-from portolan.operators.metrics import log_loss
+from portolan.operators.metrics import log_loss, topk_accuracy
 from portolan.operators.registry import missing_keys, upsert
 
 
@@ -39,3 +39,11 @@ def test_selection_without_score_columns(spark):
     assert delivery(select_candidates(df)).first() == ("k", "1")
     with pytest.raises(ValueError):
         delivery(df.drop("CNPJ_Previsto"))
+
+
+def test_topk_counts_ties_unscored_truth_and_gathers_nothing(spark):
+    rows = [(1, "b", "a", 0.4), (1, "b", "b", 0.4), (1, "b", "c", 0.2), (2, "z", "a", 0.9), (2, "z", "b", 0.1), (None, "a", "a", 0.7), (None, "a", "b", 0.3)]
+    df = spark.createDataFrame(rows, "row long, y string, class string, p double")
+    got = topk_accuracy(df, ks=(1, 2, 3))
+    assert sorted(map(tuple, got.collect())) == [(1, 0.3333), (2, 0.6667)]
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
