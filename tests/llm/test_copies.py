@@ -6,8 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from portolan.llm import exact_dedup, jaccard_join, substring_dedup
+from portolan.llm.components import components
 from portolan.llm.hashing import Words, sliding
 from portolan.llm.sketch import Counter as Cells
 from portolan.llm.sketch import Repeats
@@ -171,3 +173,27 @@ def test_pruning_keeps_likely_pairs():
     need = jaccard_join.least_matches(0.8, 1e-8, 32, 288)
     assert need[32] < 32 * 0.8 and all(need[n] < 0.8 * n for n in need)
     assert need[288] > 0.6 * 288
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "sparse", "loops", "none"])
+def test_components(spark, kind):
+    draw = random.Random(5)
+    edges = {
+        "path": [(i, i + 1) for i in range(60)],
+        "star": [(0, i) for i in range(1, 90)] + [(5, 0)],
+        "sparse": [(draw.randrange(150), draw.randrange(150)) for _ in range(90)],
+        "loops": [(1, 1), (2, 3), (3, 2), (2, 3)],
+        "none": [],
+    }[kind]
+    parent = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in parent:
+        for a, b in edges:
+            if a in parent and b in parent:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(r["node"] for r in found) == sorted(parent)
+    roots = {r["node"]: r["root"] for r in found}
+    groups = {}
+    for node, least in parent.items():
+        groups.setdefault(least, set()).add(roots[node])
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
