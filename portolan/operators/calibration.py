@@ -1,4 +1,4 @@
-"""Probability calibration: metrics as aggregates, calibrators as Spark ML fits.
+"""Probability calibration: metrics as aggregates, calibrators as Newton or Spark ML fits.
 
 Fits see one weighted row per distinct (p, y): the likelihood and the pooled means are unchanged and
 repeated probabilities are combined before any iteration.
@@ -9,16 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portolan.session import scratch_path
+
 BINS = 15
 EPS = 1e-9
 NO_TEMPERATURE = 1e12
+# Newton fits: largest mean gradient of a finished one, steps until then.
+GRADIENT = 1e-10
+NEWTON_STEPS = 100
 METHODS = ("platt", "isotonic", "beta", "temperature")
 
 
@@ -118,12 +123,51 @@ def _distinct_points(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def _logistic(points: DataFrame, features: list[Column], intercept: bool) -> tuple[list[float], float]:
-    """Unpenalised maximum likelihood on explicit features."""
-    data = points.select("label", "weight", array_to_vector(F.array(*features)).alias("features"))
-    model = LogisticRegression(
-        regParam=0.0, fitIntercept=intercept, weightCol="weight", maxIter=200, tol=1e-10, family="binomial"
-    ).fit(data)
-    return [float(c) for c in model.coefficients], float(model.intercept)
+    """Unpenalised maximum likelihood on explicit features, by Newton steps: each is one aggregate to one row.
+
+    A step that raises the loss is halved. Ends when the mean gradient is below GRADIENT, raises when it never is.
+    """
+    columns = [*features, F.lit(1.0)] if intercept else features
+    size = len(columns)
+    path = scratch_path(points.sparkSession, "points")
+    points.select("label", "weight", *[c.alias(f"x{i}") for i, c in enumerate(columns)]).write.parquet(path)
+    data = points.sparkSession.read.parquet(path)
+    at, step, best = np.zeros(size), np.zeros(size), np.inf
+    for _ in range(NEWTON_STEPS):
+        weight, loss, gradient, curve = _newton_sums(data, at)
+        if not weight:
+            raise ValueError("no rows to fit")
+        if np.abs(gradient).max() <= GRADIENT * weight:
+            values = [float(v) for v in at]
+            return (values[:-1], values[-1]) if intercept else (values, 0.0)
+        if loss > best * (1 + 1e-12):
+            step = step / 2
+            at = at - step
+            continue
+        best = loss
+        step = np.linalg.lstsq(curve, -gradient, rcond=None)[0]
+        at = at + step
+    raise RuntimeError("the fit did not converge")
+
+
+def _newton_sums(data: DataFrame, at: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Weight, loss, gradient and second derivatives at given coefficients."""
+    pairs = [(i, j) for i in range(len(at)) for j in range(i, len(at))]
+    z = sum((F.lit(float(v)) * F.col(f"x{i}") for i, v in enumerate(at)), F.lit(0.0))
+    seen = data.withColumn("z", z).withColumn("q", _sigmoid(F.col("z")))
+    off = F.col("weight") * (F.col("q") - F.col("label"))
+    spread = F.col("weight") * F.col("q") * (1 - F.col("q"))
+    loss = F.greatest("z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("z"))) - F.col("label") * F.col("z")
+    row = seen.agg(
+        F.sum("weight"),
+        F.sum(F.col("weight") * loss),
+        *[F.sum(off * F.col(f"x{i}")) for i in range(len(at))],
+        *[F.sum(spread * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs],
+    ).first()
+    curve = np.zeros((len(at), len(at)))
+    for (i, j), value in zip(pairs, row[2 + len(at) :], strict=True):
+        curve[i, j] = curve[j, i] = value or 0.0
+    return row[0] or 0.0, row[1] or 0.0, np.array([v or 0.0 for v in row[2 : 2 + len(at)]]), curve
 
 
 def fit_platt(df: DataFrame, y: str = "y", p: str = "p") -> Calibrator:

@@ -47,3 +47,14 @@ def test_topk_counts_ties_unscored_truth_and_gathers_nothing(spark):
     got = topk_accuracy(df, ks=(1, 2, 3))
     assert sorted(map(tuple, got.collect())) == [(1, 0.3333), (2, 0.6667)]
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_newton_fit_meets_its_conditions(spark):
+    from portolan.operators import calibration as c
+
+    rows = [(i / 50, int((i * 7919) % 50 < i)) for i in range(1, 50)]
+    slope, intercept = (c.fit_platt(spark.createDataFrame(rows, "p double, y int")).params[k] for k in ("slope", "intercept"))
+    off = [1 / (1 + math.exp(-(slope * p + intercept))) - y for p, y in rows]
+    assert abs(sum(off)) < 1e-6 and abs(sum(o * p for o, (p, _) in zip(off, rows, strict=True))) < 1e-6
+    with pytest.raises(ValueError):
+        c.fit_platt(spark.createDataFrame([], "p double, y int"))
