@@ -5,11 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.numeric import lenient_double
-from portolan.operators.quantiles import quantiles
+from portolan.operators.quantiles import exact_quantiles, quantiles
+from portolan.session import scratch_path
 
 IQR_FACTOR = 1.5
 
@@ -39,7 +41,10 @@ NEIGHBOURS = 20
 CONTAMINATION = 0.1
 DAMPING = 0.3
 MIN_ROWS = 10
+# Sizes of tasks, without influence on results: points of a cell, parts a cell is cut into, points met by a cell at once.
 BLOCK_POINTS = 1000
+PARTS = 16
+VISITS = 4000
 
 
 def lof_of_points(points: np.ndarray, copies: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -78,6 +83,180 @@ def lof_scores_of_block(points: np.ndarray, copies: np.ndarray, k: int = NEIGHBO
     return np.where(-factor < limit, scaled, scaled * DAMPING)
 
 
+def nearest(owner: np.ndarray, squared: np.ndarray, near: np.ndarray, rows: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the candidates among each owner's k nearest rows, equal distances by `near`, and how many rows each gives."""
+    order = np.lexsort((near, squared, owner))
+    own, weight = owner[order], rows[order]
+    reached = np.cumsum(weight)
+    first = np.r_[True, own[1:] != own[:-1]][: len(own)]
+    before = reached - weight
+    before = before - before[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
+    used = np.clip(k[order] - before, 0, weight)
+    return order[used > 0], used[used > 0]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once under the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _total(parts: list[Column]) -> Column:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out + part
+    return out
+
+
+def _cells(points: DataFrame, names: list[str], cell_points: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Points with `cell` and `bound` (at least the square of their k-distance), and the boxes of each level of cells.
+
+    Cells with more points are cut at the quantiles of their widest column, a value that holds several quantiles apart.
+    """
+    shares = F.array(*[F.lit((i + 1) / PARTS) for i in range(PARTS - 1)])
+    rest = points.withColumns({"parent": F.lit(None).cast("string"), "cell": F.lit(""), "bound": F.lit(float("inf"))})
+    leaves, levels = None, []
+    while True:
+        limits = [F.array(*[f(n) for n in names]) for f in (F.min, F.max)]
+        boxes = rest.groupBy("lof_scope", "parent", "cell").agg(
+            F.count(F.lit(1)).alias("points"),
+            F.sum("copies").alias("rows"),
+            limits[0].alias("low"),
+            limits[1].alias("high"),
+            F.array(*[F.percentile_approx(n, shares, 1000) for n in names]).alias("cuts"),
+        )
+        widths = F.zip_with("high", "low", lambda a, b: a - b)
+        boxes = boxes.withColumns(
+            {"axis": F.array_position(widths, F.array_max(widths)).cast("int"), "leaf": F.col("points") <= cell_points}
+        ).withColumn("cuts", F.element_at("cuts", F.col("axis")))
+        boxes = stored(boxes, "lof_boxes")
+        levels.append(boxes.select("lof_scope", "parent", "cell", "low", "high", "leaf"))
+        far = _total([F.greatest((F.col(n) - F.col("low")[i]) ** 2, (F.col(n) - F.col("high")[i]) ** 2) for i, n in enumerate(names)])
+        value = F.element_at(F.array(*names), F.col("axis"))
+        below = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < value))
+        often = F.size(F.filter("cuts", lambda c: c == value)) > 1
+        placed = rest.join(boxes.drop("parent", "points"), ["lof_scope", "cell"]).withColumn(
+            "bound", F.when(F.col("rows") > F.col("k"), F.least("bound", far)).otherwise(F.col("bound"))
+        )
+        kept = placed.where("leaf").select("lof_scope", "lof_id", *names, "copies", "k", "cell", "bound")
+        leaves = kept if leaves is None else leaves.unionByName(kept)
+        if boxes.where("NOT leaf").isEmpty():
+            return stored(leaves, "lof_cells"), levels
+        child = F.concat("cell", F.lit("/"), (2 * below + often.cast("int")).cast("string"))
+        rest = placed.where("NOT leaf").select(
+            "lof_scope", "lof_id", *names, "copies", "k", F.col("cell").alias("parent"), child.alias("cell"), "bound"
+        )
+        rest = stored(rest, "lof_rest")
+
+
+CANDIDATE = "lof_id long, near long, squared double, rows long, k long"
+EDGE = "lof_id long, near long, distance double, used long, k long"
+
+
+def _lof_factors(points: DataFrame, names: list[str], cell_points: int) -> DataFrame:
+    """points with `factor`, as lof_of_points() gives it over each whole scope.
+
+    Every point meets its own cell first, then the other cells that its k-distance so far reaches. `lof_id` rises with the
+    coordinates, which settles equal distances.
+    """
+    cells, levels = _cells(points, names, cell_points)
+    schema = CANDIDATE + ", bound double"
+
+    def found(asked: pa.Table, given: pa.Table) -> pa.Table:
+        given = given.sort_by("lof_id")
+        column = lambda t, n: t.column(n).to_numpy()
+        ids, copies = column(given, "lof_id"), column(given, "copies")
+        there = [column(given, n) for n in names]
+        parts = []
+        for start in range(0, asked.num_rows, BLOCK_POINTS):
+            part = asked.slice(start, BLOCK_POINTS)
+            own, k, bound = column(part, "lof_id"), column(part, "k"), column(part, "bound")
+            squared = np.zeros((part.num_rows, len(ids)))
+            for n, x in zip(names, there, strict=True):
+                squared += (column(part, n)[:, None] - x[None, :]) ** 2
+            most = int(k.max())
+            if most < len(ids):
+                bound = np.minimum(bound, np.partition(squared, most, axis=1)[:, most])
+            i, j = np.nonzero(squared <= bound[:, None])
+            rows = copies[j] - (own[i] == ids[j])
+            i, j, rows = i[rows > 0], j[rows > 0], rows[rows > 0]
+            at, used = nearest(i, squared[i, j], ids[j], rows, k[i])
+            i, j, rows = i[at], j[at], rows[at]
+            enough = np.bincount(i, used, len(own)) >= k
+            reached = np.zeros(len(own))
+            np.maximum.at(reached, i, squared[i, j])
+            bound = np.where(enough, np.minimum(bound, reached), column(part, "bound"))
+            parts.append(pa.table([own[i], ids[j], squared[i, j], rows, k[i], bound[i]], [c.split()[0] for c in schema.split(", ")]))
+            # A point alone in its cell has no candidate yet and still asks other cells.
+            lone = np.setdiff1d(np.arange(len(own)), i)
+            if len(lone):
+                none = pa.nulls(len(lone), pa.int64())
+                parts.append(pa.table([own[lone], none, pa.nulls(len(lone), pa.float64()), none, k[lone], bound[lone]], parts[-1].column_names))
+        return pa.concat_tables(parts)
+
+    inside = stored(cells.groupBy("lof_scope", "cell").applyInArrow(lambda t: found(t, t), schema), "lof_inside")
+    bounds = inside.groupBy("lof_id").agg(F.max("bound").alias("bound"))
+    # The squares of a box and of a point are summed alike; the margin covers what rounding may add.
+    probes = cells.drop("bound").withColumnRenamed("cell", "home").join(bounds, "lof_id").withColumn("cell", F.lit(""))
+    visits = None
+    for boxes in levels[1:]:
+        gap = _total(
+            [F.greatest(F.col("low")[i] - F.col(n), F.col(n) - F.col("high")[i], F.lit(0.0)) ** 2 for i, n in enumerate(names)]
+        )
+        kept = [c for c in probes.columns if c != "cell"]
+        met = probes.withColumnRenamed("cell", "parent").join(boxes, ["lof_scope", "parent"]).where(gap <= F.col("bound") * (1 + 1e-9))
+        met = stored(met.select(*kept, "cell", "leaf"), "lof_met")
+        here = met.where("leaf AND cell <> home").drop("leaf")
+        visits = here if visits is None else visits.unionByName(here)
+        probes = met.where("NOT leaf").drop("leaf")
+    loads = visits.groupBy("lof_scope", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(VISITS))).alias("shares"))
+    loads = stored(loads, "lof_loads")
+    asked = visits.join(loads, ["lof_scope", "cell"]).withColumn("share", F.pmod(F.xxhash64("lof_id"), F.col("shares")))
+    given = cells.join(loads, ["lof_scope", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    keys = ["lof_scope", "cell", "share"]
+
+    empty = pa.table([pa.array([], pa.float64() if c.split()[1] == "double" else pa.int64()) for c in schema.split(", ")], [c.split()[0] for c in schema.split(", ")])
+    outside = (
+        asked.select(*keys, "lof_id", *names, "k", "bound").groupBy(*keys)
+        .cogroup(given.select(*keys, "lof_id", *names, "copies").groupBy(*keys))
+        .applyInArrow(lambda a, g: found(a, g) if a.num_rows and g.num_rows else empty, schema)
+    )
+    candidates = inside.unionByName(outside).where("near IS NOT NULL").drop("bound")
+
+    def settle(t: pa.Table) -> pa.Table:
+        own, near, squared, rows, k = (t.column(c.split()[0]).to_numpy() for c in CANDIDATE.split(", "))
+        at, used = nearest(own, squared, near, rows, k)
+        return pa.table([own[at], near[at], np.sqrt(squared[at]), used, k[at]], [c.split()[0] for c in EDGE.split(", ")])
+
+    parts = max(1, points.count() // VISITS)
+    edges = candidates.groupBy(F.pmod(F.xxhash64("lof_id"), F.lit(parts)).alias("part")).applyInArrow(settle, EDGE)
+    edges = stored(edges, "lof_edges")
+    # Sums in the order of the neighbours, so that no result depends on how rows were dealt.
+    summed = lambda c: F.aggregate(
+        F.array_sort(F.collect_list(F.struct("distance", "near", c.alias("part")))), F.lit(0.0), lambda a, x: a + x["part"]
+    )
+    reach = edges.groupBy(F.col("lof_id").alias("near")).agg(F.max("distance").alias("k_distance"))
+    density = edges.join(reach, "near").groupBy("lof_id").agg(
+        (1 / (summed(F.col("used") * F.greatest("distance", "k_distance")) / F.first("k") + 1e-10)).alias("density")
+    )
+    density = stored(density, "lof_density")
+    around = edges.join(density.select(F.col("lof_id").alias("near"), "density"), "near")
+    mean = around.groupBy("lof_id").agg((summed(F.col("used") * F.col("density")) / F.first("k")).alias("mean"))
+    factor = density.join(mean, "lof_id").select("lof_id", (F.col("mean") / F.col("density")).alias("factor"))
+    return stored(points.join(factor, "lof_id"), "lof_factors")
+
+
+def _lof_of_large(points: DataFrame, names: list[str], cell_points: int) -> DataFrame:
+    """lof_scores_of_block() over scopes of any size: (lof_scope, names..., lof_score)."""
+    factors = _lof_factors(points, names, cell_points)
+    limit = exact_quantiles(factors, -F.col("factor"), {"limit": CONTAMINATION}, ["lof_scope"], F.col("copies"))
+    ends = factors.groupBy("lof_scope").agg(F.min("factor").alias("least"), F.max("factor").alias("most"))
+    scaled = (F.col("factor") - F.col("least")) / (F.col("most") - F.col("least") + 1e-9)
+    score = F.when(-F.col("factor") < F.col("limit"), scaled).otherwise(scaled * DAMPING)
+    return factors.join(limit, "lof_scope").join(ends, "lof_scope").select("lof_scope", *names, score.alias("lof_score"))
+
+
 def lof_scores(
     df: DataFrame,
     columns: list[str],
@@ -88,31 +267,31 @@ def lof_scores(
 ) -> DataFrame:
     """Adds the outlier score over numeric columns; NULLs count as 0.
 
-    Scores are relative to a block of rows, as the batch-wise definition asks: a whole table (or
-    `scope` value) of at most `block_points` distinct points is one block, more points are spread
-    over blocks of about that size by the hash of the point. Equal rows are one point with a number
-    of copies, so no block grows with a repeated value, and work is linear in the rows.
+    Neighbours, scale and share flagged are those of the whole table (or `scope` value). Equal rows are one point with
+    a number of copies. A scope of at most `block_points` distinct points is one task; a larger one is cut into cells of
+    at most that size, and a point meets the cells within its k-distance: the size changes no result.
     """
     names = [f"lof_{i}" for i in range(len(columns))]
     keyed = df.withColumns(
         {n: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(0.0) for n, c in zip(names, columns)}
     ).withColumn("lof_scope", F.lit("") if scope is None else F.coalesce(F.col(scope).cast("string"), F.lit("")))
     points = keyed.groupBy("lof_scope", *names).agg(F.count(F.lit(1)).alias("copies"))
-    sizes = points.groupBy(F.col("lof_scope").alias("sized")).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(block_points))).alias("blocks")
-    )
-    blocked = (
-        points.join(sizes, F.col("lof_scope") == F.col("sized"))
-        .withColumn("block", F.pmod(F.xxhash64(*names), F.col("blocks")))
-        .drop("sized", "blocks")
-    )
+    points = stored(points, "lof_points")
+    sizes = points.groupBy("lof_scope").agg(F.count(F.lit(1)).alias("size"), F.sum("copies").alias("rows"))
+    sized = points.join(sizes, "lof_scope")
 
     def score_block(pdf: pd.DataFrame) -> pd.DataFrame:
         scores = lof_scores_of_block(pdf[names].to_numpy(float), pdf["copies"].to_numpy(), k)
         return pdf[["lof_scope", *names]].assign(lof_score=scores)
 
     schema = ", ".join(["lof_scope string", *[f"{n} double" for n in names], "lof_score double"])
-    scored = blocked.groupBy("lof_scope", "block").applyInPandas(score_block, schema)
+    scored = sized.where(F.col("size") <= block_points).groupBy("lof_scope").applyInPandas(score_block, schema)
+    large = sized.where(F.col("size") > block_points)
+    if not large.isEmpty():
+        large = large.orderBy("lof_scope", *names).withColumns(
+            {"lof_id": F.monotonically_increasing_id(), "k": F.least(F.lit(k).cast("long"), F.col("rows") - 1)}
+        )
+        scored = scored.unionByName(_lof_of_large(stored(large.drop("size", "rows"), "lof_large"), names, block_points))
     return (
         keyed.join(scored, ["lof_scope", *names])
         .withColumnRenamed("lof_score", out)

@@ -17,9 +17,14 @@ STRIDE = 32
 SKETCH_ACCURACY = 10_000
 
 
-def value_counts(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """(by..., value, n) of the non-null values."""
+def value_counts(
+    df: DataFrame, value: Column, by: list[str] | None = None, rows: Column | None = None
+) -> DataFrame:
+    """(by..., value, n) of the non-null values; `rows` is how many rows each row stands for."""
     by = by or []
+    if rows is not None:
+        kept = df.select(*by, value.alias("value"), rows.alias("n")).where(F.col("value").isNotNull())
+        return kept.groupBy(*by, "value").agg(F.sum("n").alias("n"))
     return df.select(*by, value.alias("value")).where(F.col("value").isNotNull()).groupBy(*by, "value").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -34,10 +39,12 @@ def _bucket(value: Column) -> Column:
     )
 
 
-def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+def value_ranks(
+    df: DataFrame, value: Column, by: list[str] | None = None, buckets: int = BUCKETS, rows: Column | None = None
+) -> DataFrame:
     """(by..., value, n, before, total): rows with a smaller value, and all rows, per group."""
     by = by or []
-    counts = value_counts(df, value, by)
+    counts = value_counts(df, value, by, rows)
     shares = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
     # The sketch also sums n, so that it reads the very shuffle the ranking reads: one scan feeds both.
     sketch = counts.agg(
@@ -81,11 +88,11 @@ def _at(position: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column, quantiles: dict[str, float], by: list[str] | None = None
+    df: DataFrame, value: Column, quantiles: dict[str, float], by: list[str] | None = None, rows: Column | None = None
 ) -> DataFrame:
     """One row (per group) with the linearly interpolated quantiles named in `quantiles`."""
     by = by or []
-    ranks = value_ranks(df, value, by)
+    ranks = value_ranks(df, value, by, rows=rows)
     parts = []
     for name, q in quantiles.items():
         place = F.lit(float(q)) * (F.col("total") - 1)

@@ -140,6 +140,18 @@ def test_lof_small_and_blocked(spark):
     assert out.count() == 3000 and out.agg(F.max("KPI_Outlier")).first()[0] <= 1.0
 
 
+def test_lof_over_many_cells_equals_one_block(spark):
+    """Several scopes, repeated values and rows, far points: the size of a cell changes no score."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(700, 3)).round(1), rng.normal(size=(500, 3)), np.zeros((15, 3)), [[50.0, 0.0, 0.0]]])
+    x[:200, 2] = 0.5
+    rows = [(i, "a" if i % 3 else "b", *map(float, v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, s string, u double, v double, w double")
+    run = lambda size: {r["i"]: r["KPI_Outlier"] for r in lof_scores(df, ["u", "v", "w"], scope="s", block_points=size).collect()}
+    many, one = run(60), run(5000)
+    assert np.allclose([many[i] for i in range(len(x))], [one[i] for i in range(len(x))], rtol=1e-6, atol=1e-9)
+
+
 def test_complement_bayes_equals_brute_force(spark):
     texts = [
         ("c1", "red blue blue"), ("c1", "red green"), ("c2", "green green sky"), ("c3", "sky blue"), ("c4", "moss"),
