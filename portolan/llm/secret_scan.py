@@ -6,20 +6,23 @@ smallest of hex, base 32, base 36, base 62, base 64 that holds it), its characte
 tests ask if they look drawn at random: chi-squared uniformity, the number of runs above and below the middle, and
 the correlation of neighbours. Fisher's method makes one figure of the three, near 0 for what is not random.
 
-Short strings can pass by luck. So the same figure is taken of decoys, ordinary words of every document strung together to the
-lengths of the candidates, and within each band of length a candidate's p-value is the share of decoys that look
+Short strings can pass by luck. So the same figure is taken of decoys: ordinary words from all over each document, strung
+together to the lengths of the candidates, each length by itself. Documents with too few words for a length lend theirs to
+decoys strung together from several documents. Equal decoys count once, so that copies and templates weigh as one text. Within each band of length a candidate's p-value is the share of decoys that look
 as random as it does. Benjamini and Hochberg's procedure per band keeps the expected share of false finds below `RATE`.
 Counts of figures on a fixed grid for each band are all that is gathered.
 
 Cases: null text is empty; texts of any length are read whole and in linear time; equal rows give equal results;
-without decoys in a band nothing is added there. An empty table gives an empty result. Only the id and the text are read
+without decoys in a band (fewer Latin letters in all texts than one decoy has) nothing is added there. An empty table gives an empty result. Only the id and the text are read
 by `find_secrets`; `redact` returns all columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 WORD = re.compile(r"[A-Za-z]+")
 #: Lengths of the bands: from each figure up to the next.
 BANDS = (20, 24, 28, 32, 40, 48, 64, 96)
-DECOY_BYTES = sum(BANDS)
+#: Texts with too few words are joined to about so many times the letters of the longest band.
+JOINT = 4
 RATE, GRID, LOWEST = 0.05, 60, 12.0
 ALPHABETS = (
     "0123456789abcdef",
@@ -130,35 +134,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ordinary(text: str) -> list[str]:
+    return [w for w in WORD.findall(text) if len(w) < LEAST]
+
+
 def decoys(text: str) -> list[str]:
-    """Ordinary words from the start of a text, strung together to one string of each band; texts with too few words give fewer."""
-    out, need = [], 0
-    words = WORD.finditer(text)
+    """One string for each band, of ordinary words from all over a text; texts with too few words give fewer.
+
+    Each band starts at a word that depends on the text and goes on by steps that visit every word once.
+    """
+    words = ordinary(text)
+    n, out = len(words), []
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    step = max(1, int(n * 0.618))
+    while math.gcd(step, n) > 1:
+        step += 1
     for size in BANDS:
-        got = ""
-        while len(got) < size:
-            match = next(words, None)
-            if match is None:
-                return out
-            if match.end() - match.start() < LEAST:
-                got += match.group()
-        out.append(got[:size])
+        got, length = [], 0
+        at = (seed * size >> 7) % n if n else 0
+        while length < size and len(got) < n:
+            got.append(words[at])
+            length += len(words[at])
+            at = (at + step) % n
+        if length < size:
+            return out
+        out.append("".join(got)[:size])
     return out
 
 
 CANDIDATES = "array<struct<start:int,end:int,band:int,level:int>>"
-FIELDS = f"base array<struct<kind:string,start:int,end:int>>, candidates {CANDIDATES}, decoys array<int>"
+DECOYS = "array<struct<place:int,id:long>>"
+FIELDS = f"base array<struct<kind:string,start:int,end:int>>, candidates {CANDIDATES}, decoys {DECOYS}, words string"
+
+
+def placed(fakes: list[str]) -> list[dict]:
+    """Place and id of each decoy; equal decoys have equal ids."""
+    places = band(np.array([len(s) for s in fakes], np.int64)) * (GRID + 1) + level(randomness(fakes))
+    ids = [int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True) for s in fakes]
+    return [{"place": p, "id": i} for p, i in zip(places.tolist(), ids, strict=True)]
 
 
 def read(t: DataFrame) -> DataFrame:
-    """Base spans, candidates and the places (band * (GRID + 1) + level) of the decoys of each text, in place of it."""
+    """Base spans, candidates, decoys (place: band * (GRID + 1) + level) and words too few for decoys of each text, in place of it."""
     fields = T.StructType.fromDDL(FIELDS)
     schema = T.StructType([f for f in t.schema.fields if f.name != "text"] + fields.fields)
     kinds = [arrow_type(f.dataType) for f in fields]
 
     def setup():
         def func(part: pa.RecordBatch):
-            base, spans, strings, sizes, fakes = [], [], [], [], []
+            base, spans, strings, sizes, fakes, few = [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 own = base_spans(text)
                 taken = sorted((a, b) for _, a, b in own)
@@ -169,33 +193,53 @@ def read(t: DataFrame) -> DataFrame:
                 spans.append([m.span() for m in free])
                 strings += [m.group() for m in free]
                 made = decoys(text)
+                few.append(" ".join(ordinary(text)) or None if len(made) < len(BANDS) else None)
                 sizes.append(len(made))
                 fakes += made
             p = randomness(strings)
             place = list(zip(band(np.array([len(s) for s in strings], np.int64)).tolist(), level(p).tolist(), strict=True))
-            lie = (band(np.array([len(s) for s in fakes], np.int64)) * (GRID + 1) + level(randomness(fakes))).tolist()
+            lie = placed(fakes)
             at, to, candidates, lies = 0, 0, [], []
             for own, many in zip(spans, sizes, strict=True):
                 candidates.append([{"start": a, "end": b, "band": w, "level": v} for (a, b), (w, v) in zip(own, place[at : at + len(own)], strict=True)])
                 lies.append(lie[to : to + many])
                 at, to = at + len(own), to + many
             kept = [part.column(n) for n in schema.names[: -len(kinds)]]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(x, k) for x, k in zip((base, candidates, lies), kinds, strict=True)], schema.names)
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(x, k) for x, k in zip((base, candidates, lies, few), kinds, strict=True)], schema.names)
 
         return func
 
     return map_slices(t, setup, schema)
 
 
+def joint_decoys(found: DataFrame) -> DataFrame:
+    """Decoys of the texts with too few words, several texts as one; by the hash of the words, whatever the partitions."""
+    few = found.where("words IS NOT NULL").select("words").distinct()
+    letters = few.agg(F.sum(F.length("words"))).first()[0] or 0
+    groups = F.pmod(F.xxhash64("words"), F.lit(max(1, letters // (JOINT * BANDS[-1]))))
+    joint = few.groupBy(groups.alias("g")).agg(F.array_join(F.array_sort(F.collect_list("words")), " ").alias("text")).select("text")
+    schema = T.StructType.fromDDL(f"decoys {DECOYS}")
+
+    def setup():
+        def func(part: pa.RecordBatch):
+            made = [placed(decoys(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, arrow_type(schema[0].dataType))], schema.names)
+
+        return func
+
+    return map_slices(joint, setup, schema)
+
+
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[int, int]:
     """For each band the least level that counts as a find. Gathers a count for each band and level, whatever the input."""
     real = found.select(F.explode("candidates").alias("c")).groupBy("c.band", "c.level").count().collect()
-    fake = found.select(F.explode("decoys").alias("d")).groupBy("d").count().collect()
+    lies = found.select("decoys").unionByName(joint_decoys(found)).select(F.explode("decoys").alias("d")).select("d.place", "d.id").distinct()
+    fake = lies.groupBy("place").count().collect()
     seen, null = np.zeros((len(BANDS), GRID + 1)), np.zeros((len(BANDS), GRID + 1))
     for row in real:
         seen[row["band"], row["level"]] = row["count"]
     for row in fake:
-        null[divmod(row["d"], GRID + 1)] = row["count"]
+        null[divmod(row["place"], GRID + 1)] = row["count"]
     out = {}
     for b in range(len(BANDS)):
         if not seen[b].sum() or not null[b].sum():
@@ -234,7 +278,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None, sign: str = "[secret]", rate: float = RATE) -> DataFrame:
     """All rows and columns, with each secret in the text replaced; `length_col` gets the new length where the text changed. Null texts stay null."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    limits = thresholds(stored(read(df.select(text.alias("text"))).select("candidates", "decoys"), "candidates"), rate)
+    limits = thresholds(stored(read(df.select(text.alias("text"))).select("candidates", "decoys", "words"), "candidates"), rate)
     rows = packed(df, text=text)
     schema = T.StructType([*rows.schema.fields, T.StructField("clean", T.StringType())])
 

@@ -111,6 +111,25 @@ def test_secrets_query_and_redaction(docs, odd, rows):
     assert secret_scan.find_secrets(docs([])).count() == 0 and secret_scan.redact(docs([])).count() == 0
 
 
+def test_decoys_of_short_texts_and_templates(docs):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("aeiounrst") for _ in range(draw.randint(3, 8)))
+    key = lambda n: "".join(draw.choice(secret_scan.ALPHABETS[6]) for _ in range(n))
+    # Texts of some 30 letters: none fills a band of 96 by itself.
+    long = key(110)
+    pairs = [(k, " ".join(word() for _ in range(6))) for k in range(1500)] + [(9000, f"so {long} it is")]
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs(pairs)).collect()}
+    assert got[9000]["spans"] == f"random:3:{3 + len(long)}"
+    # A tenth of the texts share an opening of letters that look drawn at random.
+    hot = " ".join(key(15).translate({43: "x", 47: "y"} | {48 + d: "qwertzuiop"[d] for d in range(10)}) for _ in range(40))
+    many = [(k, " ".join(word() for _ in range(120))) for k in range(900)] + [(2000 + k, f"{hot} " + " ".join(word() for _ in range(900))) for k in range(100)]
+    many += [(9000 + k, f"so {key(100)} it is") for k in range(20)]
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(docs(many)).collect()}
+    assert sum(got[9000 + k]["n_added"] for k in range(20)) >= 18
+    found = secret_scan.decoys(" ".join(word() for _ in range(40)))
+    assert [len(x) for x in found] == list(secret_scan.BANDS)
+
+
 def plain_counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text)
     triples = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
