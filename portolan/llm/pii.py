@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction (operator 6).
 
 Fixed rules find the seeds: e-mail and IP addresses, card and telephone numbers. The words around every identifier
-(a token with a digit or an @) are its lexical patterns: the two words before it, and the word before with the word
+(a token with a digit or an @, or groups of digits joined by single spaces, dots, brackets or hyphens) are its lexical patterns: the two words before it, and the word before with the word
 after, each with the make of the identifier (with an @, digits alone, mixed). Patterns and identifiers form a graph that Spark scores in rounds: a pattern is as
 sure as the lower bound of the share of its identifiers that are known to be of a kind, an identifier as sure as its
-patterns together make it, and what is sure enough counts as known in the next round. Identifiers that no rule found, but that
+patterns together make it, and what is sure enough counts as known in the next round, until a round finds no new identifier. Identifiers that no rule found, but that
 sure patterns did, are added as spans of that kind. Spans of the rules always stay.
 
 The graph holds identifiers and patterns with counts, not texts; all documents take part in it.
@@ -16,6 +16,7 @@ table gives an empty result. Only the id and the text are read.
 from __future__ import annotations
 
 import re
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from portolan.llm.support import arrow_type, map_slices, stored, texts
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SEEDS, SURE, TOGETHER = 3, 4, 0.75, 0.9
+LEAST_SEEDS, SURE, TOGETHER = 4, 0.75, 0.9
+#: No identifier of any kind that the rules do not find is shorter.
+SHORTEST = 6
 #: z of the lower (Wilson) bound of a pattern's share.
 Z = 1.645
 
@@ -40,6 +43,10 @@ MARK = re.compile(r"[0-9@]")
 LETTER = re.compile(r"[A-Za-z]")
 #: A token with a mark, from its first character on; possessive, so that no token is read twice.
 IDENTIFIER = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+#: Groups of digits, or an account number in groups after its country and check digits.
+GROUPS = re.compile(
+    r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?:[\x20-][A-Z0-9]{4})++(?:[\x20-][A-Z0-9]{1,3}+)?+|[+(]{0,2}[0-9]++(?:(?:\x20?[()]\x20?|\)-|[\x20.-])[0-9]++)++)"
+)
 EDGE = "\"'`.,;:!?()[]{}<>|*#$%&"
 BEFORE = re.compile(r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*\Z")
 AFTER = re.compile(r"[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,40})")
@@ -91,18 +98,33 @@ def make(token: str) -> str:
     return "at" if "@" in token else "mixed" if LETTER.search(token) else "digits"
 
 
+def whole(text: str, a: int, b: int) -> int:
+    """End of a run without a last group that goes on as a word."""
+    if b < len(text) and text[b].isalnum():
+        while b > a and text[b - 1].isalnum():
+            b -= 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+    return b
+
+
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Identifiers of a text with their surroundings: base spans and all other tokens with a digit or an @."""
+    """Identifiers of a text with their surroundings: base spans and all other tokens with a digit or an @ and runs of digit groups."""
     spans = [(a, b, k) for k, a, b in base]
     taken = sorted((a, b) for a, b, _ in spans)
-    k = 0
-    for m in IDENTIFIER.finditer(text) if MARK.search(text) else ():
+    some = MARK.search(text) is not None
+    runs = {(m.start(), whole(text, *m.span())) for m in GROUPS.finditer(text)} if some else set()
+    tokens = set()
+    for m in IDENTIFIER.finditer(text) if some else ():
         part = m.group()
         a = m.start() + len(part) - len(part.lstrip(EDGE))
         b = m.end() - (len(part) - len(part.rstrip(EDGE)))
+        tokens.add((a, b))
+    k = 0
+    for a, b in sorted(tokens | runs):
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if 6 <= b - a <= 64 and not any(x < b and y > a for x, y in taken[k : k + 8]):
+        if b - a >= SHORTEST and not any(x < b and y > a for x, y in taken[k : k + 8]):
             spans.append((a, b, None))
     out = []
     for a, b, kind in spans:
@@ -146,11 +168,11 @@ def graph(found: DataFrame) -> DataFrame:
     return m.groupBy("pattern", "name").agg(F.max("kind").alias("kind"))
 
 
-def score(edges: DataFrame, rounds: int = ROUNDS, least: int = LEAST_SEEDS, sure: float = SURE) -> DataFrame:
-    """(pattern, kind, sure): patterns that are sure of a kind after all rounds."""
+def score(edges: DataFrame, rounds: int | None = None, least: int = LEAST_SEEDS, sure: float = SURE) -> DataFrame:
+    """(pattern, kind, sure): patterns that are sure of a kind after all rounds; without `rounds`, when no new identifier appears."""
     known = edges.where("kind IS NOT NULL").select("name", "kind").distinct()
     total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         own = edges.select("pattern", "name").join(known, "name").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("p")).where(F.col("p") >= least)
         share, n = F.col("p") / F.col("n"), F.col("n")
         low = (share + Z * Z / (2 * n) - Z * F.sqrt((share * (1 - share) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)

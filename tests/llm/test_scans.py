@@ -66,6 +66,27 @@ def test_pii_context_reveals_unseen_identifiers(docs):
     assert rows[101]["spans"] == ""
 
 
+def test_pii_grouped_numbers_and_long_chains(docs):
+    seed = lambda k: f"+1 555 {1000000 + k}"
+    pairs = [(k, f"words here. call me at {seed(k)} today please") for k in range(60)]
+    unseen = ["030 1234 5678", "(030) 12-34-56", "1234 5678 9012 3456", "0" * 70]
+    pairs += [(100 + k, f"so then. call me at {x} today please") for k, x in enumerate(unseen)]
+    got = {r["doc_id"]: r for r in pii.find_pii(docs(pairs)).collect()}
+    for k, x in enumerate(unseen):
+        at = pairs[60 + k][1].index(x)
+        assert f"phone:{at}:{at + len(x)}" in got[100 + k]["spans"].split(","), x
+    for text in ("1 " * 100000 + "1x", "AB12 " * 40000 + "x", "AB12 CDEF" * 20000, "(1)" * 70000, "1" * 200000 + "x"):
+        pii.mentions(text, [])
+    iban = "send to DE89 3704 0044 0532 0130 00 now"
+    assert "de89 3704 0044 0532 0130 00" in [m["name"] for m in pii.mentions(iban, [])]
+    # Each context teaches the numbers of the next: the last takes four rounds of patterns.
+    sizes = [5300, 800, 120, 16, 1]
+    name = lambda level, k: seed(k) if level == 0 else f"{level}{k:07d}"
+    texts = [f"we l{c}a l{c}b {name(level, k)} l{c}c end" for level, n in enumerate(sizes) for k in range(n) for c in (level - 1, level) if c >= 0]
+    last = {r["doc_id"]: r for r in pii.find_pii(docs(list(enumerate(texts)))).where("n_added > 0").collect()}
+    assert texts.index(f"we l3a l3b {name(4, 0)} l3c end") in last
+
+
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
