@@ -41,9 +41,9 @@ DIM, BLOCKS, THRESHOLD = 64, 8, 0.95
 #: Steps of a code for a length of one.
 STEPS = 1 << 14
 #: Points that the cuts are taken from (about), points of a cell aimed at, and sample points that a cell keeps at least.
-SAMPLE, CELL, LEAST = 1 << 17, 1 << 12, 16
+SAMPLE, CELL, LEAST = 1 << 17, 1 << 13, 16
 #: Points on each side of a unit, and distances held at once.
-UNIT, HELD = 1 << 13, 1 << 20
+UNIT, HELD = 1 << 14, 1 << 17
 MET = "block int, cell int, part int, against int, asks boolean, lives boolean, point long, copies long, codes binary"
 
 
@@ -187,27 +187,35 @@ def _dealt(trees: list[Cells], parts: np.ndarray, most: int, dim: int):
 def close_pairs(asked: dict, given: dict, block: int, blocks: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(place among asked, place among given, squared distance) of the candidates that are due in this block.
 
-    Both sides hold `point`, `lives` and `codes` (doubles of whole numbers). Of two residents the lower point asks.
+    Both sides hold `point` in rising order, `lives` and `codes` (doubles of whole numbers). Of two residents the lower
+    point asks.
     """
     dim = asked["codes"].shape[1]
     width = dim // blocks
     own = slice(block * width, (block + 1) * width)
     there = given["codes"][:, own]
-    norms = (there**2).sum(axis=1)
-    step = max(1, HELD // max(1, len(there)))
-    for at in range(0, len(asked["point"]), step):
-        here = asked["codes"][at : at + step, own]
-        near = (here**2).sum(axis=1)[:, None] - 2 * (here @ there.T) + norms[None, :] <= most
-        i, j = np.nonzero(near)
-        i += at
-        a, b = asked["point"][i], given["point"][j]
-        due = np.where(asked["lives"][i], a < b, True)
-        i, j = i[due], j[due]
-        for k in range(0, len(i), HELD // dim):
-            x, y = i[k : k + HELD // dim], j[k : k + HELD // dim]
-            apart = ((asked["codes"][x] - given["codes"][y]) ** 2).reshape(len(x), blocks, width).sum(axis=2)
-            first = (apart[:, :block] > most).all(axis=1)
-            yield x[first], y[first], apart[first].sum(axis=1)
+    # near: 2 x y >= x x + y y - most, with the norm of y as one more column of a product.
+    beside = np.concatenate([there, (there**2).sum(axis=1, keepdims=True) / -2], axis=1).T
+    for lives in (True, False):
+        who = np.flatnonzero(asked["lives"] == lives)
+        step = max(1, HELD // max(1, len(there)))
+        for at in range(0, len(who), step):
+            some = who[at : at + step]
+            # Residents ask those above them only.
+            low = int(np.searchsorted(given["point"], asked["point"][some[0]])) if lives else 0
+            here = asked["codes"][some, own]
+            limit = ((here**2).sum(axis=1) - most) / 2
+            near = np.concatenate([here, np.ones((len(here), 1))], axis=1) @ beside[:, low:] >= limit[:, None]
+            i, j = np.divmod(np.flatnonzero(near), max(1, near.shape[1]))
+            i, j = some[i], j + low
+            if lives:
+                due = asked["point"][i] < given["point"][j]
+                i, j = i[due], j[due]
+            for k in range(0, len(i), HELD // dim):
+                x, y = i[k : k + HELD // dim], j[k : k + HELD // dim]
+                apart = ((asked["codes"][x] - given["codes"][y]) ** 2).reshape(len(x), blocks, width).sum(axis=2)
+                first = (apart[:, :block] > most).all(axis=1)
+                yield x[first], y[first], apart[first].sum(axis=1)
 
 
 def grow(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -227,6 +235,7 @@ def grow(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 KEYS = ["block", "cell", "part", "against"]
+ORDER = [*KEYS, "point"]
 
 
 def _meet(blocks: int, most: int, limits: tuple[float, float], dim: int):
@@ -310,7 +319,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS,
     for r in loads.groupBy("block", "cell").agg(F.sum("lives").alias("lives"), F.sum("asks").alias("asks")).collect():  # cells only
         counts[:, r["block"], r["cell"]] = r["lives"], r["asks"]
     met = coded.mapInArrow(_dealt(trees, np.maximum(1, -(-counts // UNIT)), most, dim), MET)
-    units = met.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    units = met.repartition(*KEYS).sortWithinPartitions(*ORDER)
     # The rounding moves a distance by at most one step for each component.
     reach, slack = math.sqrt(max(0.0, 2 - 2 * threshold)) * STEPS, math.sqrt(dim) * 1.01
     limits = (max(0.0, reach - slack) ** 2 if reach > slack else -1.0, (reach + slack) ** 2)
