@@ -5,7 +5,8 @@ token from each place. From the left, the longest token is taken that fits the o
 given up for a shorter one. Two tokens fit if merging their joined bytes by rank gives back just these two, which is
 remembered for each pair. A sequence whose neighbours all fit is the one that merging by rank gives, and a position
 from which no continuation exists is never tried again, so the work is linear in the text. Texts are cut at single
-spaces first, so that a word with its surroundings is encoded once and then remembered, in a cache of fixed size.
+spaces first, so that a word with its surroundings is encoded once and then remembered, in a cache of bounded size;
+longer stretches without a space are encoded each time.
 
 Cases: null text is empty; an empty text has no tokens; special tokens are not looked for; texts of any length are
 encoded whole. An empty table gives an empty result. Only the id and the text are read.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from functools import lru_cache
 
 import ahocorasick
@@ -26,7 +28,10 @@ from pyspark.sql import DataFrame
 
 from portolan.llm.support import texts, with_columns
 
-CACHED = 500_000
+#: Bytes of a cache of encoded words, and the longest word that is remembered.
+CACHED, LONGEST = 64 << 20, 64
+#: What a place in a dictionary takes.
+ENTRY = 100
 #: White space right before a space: there a cut at the space could divide one match of the pattern.
 LOOSE = re.compile(r"\s ")
 
@@ -37,9 +42,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Cache(dict):
-    """Values of a function, forgotten all at once when there are too many."""
+    """Values of a function of short strings, forgotten all at once when they take more than `limit` bytes."""
 
     def __init__(self, func, limit: int = CACHED):
+        super().__init__()
+        self.func, self.limit, self.held = func, limit, 0
+
+    def __missing__(self, key):
+        value = self.func(key)
+        if len(key) <= LONGEST:
+            self.held += ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
+            if self.held > self.limit:
+                self.clear()
+                self.held = 0
+            self[key] = value
+        return value
+
+
+class Pairs(dict):
+    """Answers for pairs of tokens, written as one number: each entry is of one size."""
+
+    def __init__(self, func, limit: int = 1_000_000):
         super().__init__()
         self.func, self.limit = func, limit
 
@@ -67,7 +90,7 @@ class Codec:
         self.automaton.make_automaton()
         self.sizes = [len(t) for t in self.tokens]
         self.codes = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
-        self.fits = Cache(self._fits, 1_000_000)
+        self.fits = Pairs(self._fits)
         self.pieces = Cache(self._piece)
         self.chunks = Cache(self._chunk)
 

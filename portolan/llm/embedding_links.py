@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.components import components
-from portolan.llm.support import sorted_groups, stored
+from portolan.llm.support import releasing, sorted_groups, stored
 from portolan.llm.vectors import from_bytes, matrix, rows_of_bytes, whole
 
 DIM, BLOCKS, THRESHOLD = 64, 8, 0.95
@@ -295,7 +295,7 @@ def _verified(pairs: DataFrame, points: DataFrame, threshold: float, dim: int) -
             x, y = (unit_length(matrix(batch.column(f"vector_{end}"), dim)) for end in ("a", "b"))
             yield batch.filter(pa.array(np.einsum("ij,ij->i", x, y) >= threshold)).select(["a", "b", "copies_a", "copies_b"])
 
-    return pairs.mapInArrow(verify, "a long, b long, copies_a long, copies_b long")
+    return pairs.mapInArrow(releasing(verify), "a long, b long, copies_a long, copies_b long")
 
 
 def links(points: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +305,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS,
     """
     if dim % blocks:
         raise ValueError("blocks must divide the vectors")
-    coded = stored(points.mapInArrow(_with_codes(dim), "point long, copies long, codes binary"), "vector-codes")
+    coded = stored(points.mapInArrow(releasing(_with_codes(dim)), "point long, copies long, codes binary"), "vector-codes")
     n = coded.count()
     most = budget(threshold, blocks, dim)
     # By a hash of the point: close to SAMPLE rows whatever the table, the same ones in every run over the stored table.
@@ -315,15 +315,15 @@ def links(points: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS,
     width = dim // blocks
     trees = [Cells(sample[:, b * width : (b + 1) * width], depth) for b in range(blocks)]
     counts = np.zeros((2, blocks, 1 << depth), np.int64)
-    loads = coded.select("codes").mapInArrow(_loads(trees, most, dim), "block int, cell int, lives long, asks long")
+    loads = coded.select("codes").mapInArrow(releasing(_loads(trees, most, dim)), "block int, cell int, lives long, asks long")
     for r in loads.groupBy("block", "cell").agg(F.sum("lives").alias("lives"), F.sum("asks").alias("asks")).collect():  # cells only
         counts[:, r["block"], r["cell"]] = r["lives"], r["asks"]
-    met = coded.mapInArrow(_dealt(trees, np.maximum(1, -(-counts // UNIT)), most, dim), MET)
+    met = coded.mapInArrow(releasing(_dealt(trees, np.maximum(1, -(-counts // UNIT)), most, dim)), MET)
     units = met.repartition(*KEYS).sortWithinPartitions(*ORDER)
     # The rounding moves a distance by at most one step for each component.
     reach, slack = math.sqrt(max(0.0, 2 - 2 * threshold)) * STEPS, math.sqrt(dim) * 1.01
     limits = (max(0.0, reach - slack) ** 2 if reach > slack else -1.0, (reach + slack) ** 2)
-    found = stored(units.mapInArrow(_meet(blocks, most, limits, dim), "a long, b long, links long"), "vector-links")
+    found = stored(units.mapInArrow(releasing(_meet(blocks, most, limits, dim)), "a long, b long, links long"), "vector-links")
     late = stored(_verified(found.where("links = 0").select("a", "b"), points, threshold, dim), "vector-links")
     counted = found.where("b IS NULL").select(F.col("a").alias("point"), "links")
     for own, other in (("a", "b"), ("b", "a")):

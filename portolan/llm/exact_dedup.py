@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portolan.llm.sketch import SCHEMA, Counter, Repeats, repeats
-from portolan.llm.support import packed, stored, texts, unpacked
+from portolan.llm.support import packed, releasing, stored, texts, unpacked
 
 BITS, FUNCTIONS = 26, 4
 GAPS = " \t\n\x0b\x0c\r"
@@ -45,7 +45,7 @@ def may_repeat(hashes: DataFrame, bits: int = BITS) -> Repeats:
             seen.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         yield from seen.pages()
 
-    return repeats(hashes.mapInArrow(count, SCHEMA), bits, FUNCTIONS, False)
+    return repeats(hashes.mapInArrow(releasing(count), SCHEMA), bits, FUNCTIONS, False)
 
 
 def may_be_among(df: DataFrame, column: str, hashes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -63,7 +63,7 @@ def flagged(df: DataFrame, found: Repeats, column: str) -> DataFrame:
             may = sent.value.may(batch.column(column).to_numpy(zero_copy_only=False).view(np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], [*fields, "may_repeat"])
 
-    return df.mapInArrow(look, T.StructType([*df.schema.fields, T.StructField("may_repeat", T.BooleanType())]))
+    return df.mapInArrow(releasing(look), T.StructType([*df.schema.fields, T.StructField("may_repeat", T.BooleanType())]))
 
 
 def group_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

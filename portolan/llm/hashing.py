@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from portolan.llm.support import KEPT
+
 LONG_WORD = 256
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 MASK = (1 << 64) - 1
@@ -30,6 +32,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT.append(_POWERS.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from portolan.llm.components import components
 from portolan.llm.exact_dedup import may_be_among
 from portolan.llm.hashing import Words, mix
-from portolan.llm.support import packed, sorted_groups, stored, texts, unpacked, with_columns
+from portolan.llm.support import packed, releasing, sorted_groups, stored, texts, unpacked, with_columns
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 48, 6
@@ -261,7 +261,7 @@ def labelled(df: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, thresh
         "key", "n_docs", "sig", "shingles",
     )
     dealt = units.repartition("root", "block", "against").sortWithinPartitions("root", "block", "against")
-    found = stored(dealt.mapInArrow(lambda batches: unit_results(batches, threshold), "key binary, other binary, links long"), "links")
+    found = stored(dealt.mapInArrow(releasing(lambda batches: unit_results(batches, threshold)), "key binary, other binary, links long"), "links")
 
     classes = stored(components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))), "classes")
     counts = found.where("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))

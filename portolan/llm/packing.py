@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import json
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from portolan.llm.bpe import LOOSE, Cache
-from portolan.llm.support import map_slices, stored, texts
+from portolan.llm.support import KEPT, map_slices, stored, texts
 
 LANE_ROWS = 20_000
-#: Small: the cache stays in idle workers beside those of other stages.
-CACHED = 120_000
+#: Bytes of the cache of encoded words.
+CACHED = 24 << 20
 
 
 class Encoder:
@@ -48,7 +49,7 @@ class Encoder:
         self.chunks = Cache(self._chunk, CACHED)
 
     def _chunk(self, chunk: str) -> bytes:
-        return np.array(self.library.encode_ordinary(chunk), "<u4").tobytes()
+        return array("I", self.library.encode_ordinary(chunk)).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -64,6 +65,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def pieces(df: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece, and with `ids` the ids themselves."""
     t = texts(df, id_col, text_col)

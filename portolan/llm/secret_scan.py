@@ -134,6 +134,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def free_candidates(text: str, spans: list[tuple[str, int, int]]) -> list[re.Match]:
+    """Candidates that no span touches: one sweep over both."""
+    out, upto, at = [], 0, 0
+    taken = sorted((a, b) for _, a, b in spans)
+    for m in CANDIDATE.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            upto = max(upto, taken[at][1])
+            at += 1
+        if upto <= m.start():
+            out.append(m)
+    return out
+
+
 def ordinary(text: str) -> list[str]:
     return [w for w in WORD.findall(text) if len(w) < LEAST]
 
@@ -185,11 +198,8 @@ def read(t: DataFrame) -> DataFrame:
             base, spans, strings, sizes, fakes, few = [], [], [], [], [], []
             for text in part.column("text").to_pylist():
                 own = base_spans(text)
-                taken = sorted((a, b) for _, a, b in own)
                 base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-                free = [m for m in CANDIDATE.finditer(text)]
-                if taken and free:
-                    free = [m for m in free if not any(a < m.end() and b > m.start() for a, b in taken)]
+                free = free_candidates(text, own)
                 spans.append([m.span() for m in free])
                 strings += [m.group() for m in free]
                 made = decoys(text)
@@ -285,10 +295,9 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None,
     def setup():
         def func(part: pa.RecordBatch):
             data = part.column("text").to_pylist()
-            spans = []
-            for t in data:
-                spans.append([(a, b) for _, a, b in base_spans(t)])
-            free = [(i, m) for i, t in enumerate(data) for m in CANDIDATE.finditer(t) if not any(a < m.end() and b > m.start() for a, b in spans[i])]
+            base = [base_spans(t) for t in data]
+            spans = [[(a, b) for _, a, b in own] for own in base]
+            free = [(i, m) for i, t in enumerate(data) for m in free_candidates(t, base[i])]
             if free:
                 bands = band(np.array([len(m.group()) for _, m in free], np.int64))
                 levels = level(randomness([m.group() for _, m in free]))

@@ -94,8 +94,8 @@ class Repeats:
 def repeats(pages: DataFrame, bits: int, rows: int, own_rows: bool) -> Repeats:
     """Merge the tasks' pages (two merges, so that no task reads a page from every task) and gather "seen again"."""
     spread = pages.selectExpr("page", "once", "again", "pmod(xxhash64(once), 8) AS lane")
-    part = spread.repartition("page", "lane").select("page", "once", "again").sortWithinPartitions("page").mapInArrow(merged, SCHEMA)
-    whole = part.repartition("page").sortWithinPartitions("page").mapInArrow(merged, SCHEMA)
+    part = spread.repartition("page", "lane").select("page", "once", "again").sortWithinPartitions("page").mapInArrow(releasing(merged), SCHEMA)
+    whole = part.repartition("page").sortWithinPartitions("page").mapInArrow(releasing(merged), SCHEMA)
     plane = np.zeros(1 << (bits - 3), np.uint8)
     for row in whole.select("page", "again").collect():  # 2^(bits-3) bytes at most
         page = np.frombuffer(zlib.decompress(bytes(row["again"])), np.uint8)

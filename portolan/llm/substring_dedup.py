@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from portolan.llm.hashing import WORD_BASE, WORD_BASE_2, Words, sliding
 from portolan.llm.sketch import SCHEMA, Counter, repeats
-from portolan.llm.support import map_slices, slices, texts
+from portolan.llm.support import map_slices, releasing, slices, texts
 
 WIDTH, GRAM, BITS, ROWS = 35, 8, 27, 3
 TOP = np.uint64(np.iinfo(np.uint64).max)
@@ -60,7 +60,7 @@ def sketch(t: DataFrame, width: int, gram: int, bits: int):
                 seen.add(anchors(Words(part.column("text")), width, gram)[2])
         yield from seen.pages()
 
-    return repeats(t.select("text").mapInArrow(count, SCHEMA), bits, ROWS, True)
+    return repeats(t.select("text").mapInArrow(releasing(count), SCHEMA), bits, ROWS, True)
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:

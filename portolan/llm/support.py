@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,6 +16,31 @@ from pyspark.sql import types as T
 from portolan.session import scratch_path
 
 SLICE_BYTES = 1 << 20
+#: What a worker keeps between tasks and gives up when one ends: functions without arguments.
+KEPT: list[Callable[[], object]] = []
+
+
+def release() -> None:
+    """Gives tables of this worker back to the system: a worker that waits for its next task holds the libraries alone."""
+    for forget in KEPT:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of a partition's batches that releases its worker's tables at the end, also of a task that fails."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +79,7 @@ def map_slices(
                 for out in func(part):
                     yield out.select(fields)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def with_columns(

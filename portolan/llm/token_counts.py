@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from portolan.llm.support import texts, with_columns
 
 SPACE = "▁"
-LONG_RUN, CACHED = 200, 600_000
+#: Words that are remembered, and the longest such word.
+CACHED, LONGEST = 400_000, 64
+LONG_RUN = 200
 NONE = np.iinfo(np.int64).max
 
 
@@ -173,7 +175,11 @@ class Model:
                 if len(r) > LONG_RUN:
                     count[number[r]] = self.count_long(r)
             known.update(zip(new, np.add.reduceat(count[part], np.cumsum(sizes) - sizes).tolist(), strict=True))
-        return [sum(map(known.__getitem__, ws)) for ws in words]
+        counts = [sum(map(known.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return counts
 
 
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.support import stored
+from portolan.llm.support import releasing, stored
 from portolan.llm.vectors import matrix, whole
 
 DIM, PARTS, ENTRIES, ROUNDS = 64, 16, 64, 2
@@ -158,7 +158,7 @@ def _sums(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 def _updated(residents: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
     """Codebooks whose entries moved to the floor of their members' means; unused entries stay."""
     width = books[0].shape[1]
-    sums = residents.mapInArrow(_sums(width), "position int, entry int, n long, sums array<bigint>")
+    sums = residents.mapInArrow(releasing(_sums(width)), "position int, entry int, n long, sums array<bigint>")
     # Sums of many large numbers are decimals: they do not overflow.
     wide = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]
     new = [b.copy() for b in books]
@@ -191,12 +191,12 @@ def fit_codebooks(
     residents = None
     for turn in range(rounds if len(first) else 0):
         if residents is None:
-            arrived = kept.select("vector").mapInArrow(_deal(books, dim), PACKET)
+            arrived = kept.select("vector").mapInArrow(releasing(_deal(books, dim)), PACKET)
         else:
-            arrived = residents.mapInArrow(_moves(books, width, True), PACKET)
+            arrived = residents.mapInArrow(releasing(_moves(books, width, True)), PACKET)
         arrived = arrived.repartition("position", "entry", "salt")
         if residents is not None:
-            arrived = residents.mapInArrow(_moves(books, width, False), PACKET).unionByName(arrived)
+            arrived = residents.mapInArrow(releasing(_moves(books, width, False)), PACKET).unionByName(arrived)
         residents = stored(arrived, f"members-{turn}")
         books = _updated(residents, books)
     return books
@@ -218,7 +218,7 @@ def encode(df: DataFrame, books: list[np.ndarray], vector_col: str = "embedding"
             text = [row.tobytes().hex() for row in code]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(text, pa.string()), pa.array(total)], ["row", "code", "error"])
 
-    return kept.mapInArrow(codes, kept.drop("vector").withColumns({"code": F.lit(""), "error": F.lit(0).cast("long")}).schema)
+    return kept.mapInArrow(releasing(codes), kept.drop("vector").withColumns({"code": F.lit(""), "error": F.lit(0).cast("long")}).schema)
 
 
 def books_digest(books: list[np.ndarray]) -> str:

@@ -227,3 +227,21 @@ def test_chat_plan_has_no_python(spark, small):
 def test_randomness_of_short_lists(texts):
     assert len(secret_scan.randomness([t for t in texts if len(t) > 1])) == sum(len(t) > 1 for t in texts)
     assert np.all(np.array(secret_scan.decoys("")) == np.array([]))
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    line = "0123456789abcdef0123456789abcdef01234567 Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4\n"
+    spans = secret_scan.base_spans(line * 40000)
+    started = time.time()
+    free = secret_scan.free_candidates(line * 40000, spans)
+    assert len(spans) == len(free) == 40000
+    assert time.time() - started < 5
+
+
+def test_free_candidates_touch_no_span():
+    text = "x" * 25 + " " + "y" * 30 + " " + "z" * 20
+    for spans in ([], [("hex", 0, 3)], [("hex", 20, 26), ("assign", 2, 60)], [("hex", 25, 26)], [("hex", 0, 90), ("hex", 3, 4)]):
+        want = [m.span() for m in secret_scan.CANDIDATE.finditer(text) if not any(a < m.end() and b > m.start() for _, a, b in spans)]
+        assert [m.span() for m in secret_scan.free_candidates(text, spans)] == want

@@ -127,3 +127,33 @@ def test_plan_is_best_fit_over_documents():
         assert len(used) == len(bins)
         for n, c in counts.items():
             assert sorted(r for length, lo, hi, _, _ in plan if length == n for r in range(lo, hi)) == list(range(c))
+
+
+def test_caches_are_bounded_by_bytes():
+    import sys
+
+    from portolan.llm.bpe import Cache
+
+    made = Cache(lambda key: key.encode() * 4, limit=1 << 16)
+    for i in range(20000):
+        made[f"word{i % 3000}" if i % 3 else "長" * (i % 200)]
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in made.items()) <= 1 << 16
+    assert made["長" * 3000] == ("長" * 3000).encode() * 4
+    assert all(len(k) <= 64 for k in made)
+
+
+def test_long_texts_without_spaces_leave_nothing_behind(spark, docs):
+    import public_tokenizers
+    import tiktoken
+
+    from portolan.llm import bpe, token_counts
+
+    texts = ["長い文" * n for n in (10, 400, 3000)] + ["a1b2" * 5000]
+    codec = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for t in texts:
+        assert list(__import__("numpy").frombuffer(codec.encode(t), "<u4")) == library.encode_ordinary(t)
+    assert max(map(len, codec.chunks)) <= 64
+    model = token_counts.model(public_tokenizers.path("piece_bpe_32k.model"))
+    model.count_all(texts)
+    assert max(map(len, model.known)) <= token_counts.LONGEST
