@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 
 from portolan.llm.hashing import mix
 
+from portolan.llm.support import releasing
+
 PAGE = 1 << 16  # bytes
 SCHEMA = "page int, once binary, again binary"
 
