@@ -1,24 +1,34 @@
 """Attribution of rows to companies: complement naive Bayes as joins, soft votes, result columns.
 
-A dense score matrix of rows x companies is never built from features: rows are reduced to distinct
-token bags, token weights are one table of (token, class) pairs seen in training, and a class that
-shares no token with a bag is represented by the best such classes only (see `bag_scores`).
+Rows are reduced to distinct token bags, and token weights are one table of (token, class) pairs seen in training. Classes
+are dealt to blocks, each with an inverted list of classes for each token; a bag visits the blocks that hold one of
+its tokens and takes away the best classes and sums of each (see `block_scores`). No table of bags x classes is shuffled.
+Classes that share no token with a bag depend on its length only, and are summed once for each length.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from portolan.functions.numeric import half_even
-from portolan.functions.scoring import entropy, margin
 from portolan.operators.topk import top_classes
+from portolan.session import stored
 
 ALPHA = 0.3
 TOP = 5
-FAN_OUT = 4
+# Sizes of tasks, without influence on results: classes and pairs of a block, bags that meet a block, scores held at once.
+CLASS_BLOCK = 1024
+PAIRS = 1 << 18
+BAG_PART = 4096
+CELLS = 1 << 20
 # Memory of a streaming vote weight and lower limit of a batch one.
 MEMORY = 0.7
 LOWEST_WEIGHT = 0.1
@@ -73,6 +83,10 @@ class ComplementModel:
         for name in ("pairs", "tokens", "classes"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def kept(self) -> "ComplementModel":
+        """The same model as tables of the shared folder: what reads it several times does not train again."""
+        return ComplementModel(*[stored(getattr(self, name), f"model-{name}") for name in ("pairs", "tokens", "classes")])
+
     @classmethod
     def load(cls, spark, path: str) -> "ComplementModel":
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("pairs", "tokens", "classes")])
@@ -120,91 +134,163 @@ def bag_lengths(tokens: DataFrame, model: ComplementModel) -> DataFrame:
     )
 
 
-def bag_scores(tokens: DataFrame, lengths: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
-    """(bag, class, gain, base, p) and the columns of `lengths`: scores that hold the exact top k of every bag."""
-    shared = tokens.join(model.pairs, "token").select("bag", "class", (F.col("x") * F.col("gain")).alias("gain"))
-    others = lengths.select("bag", F.explode(_fallback(model, k)).alias("class"), F.lit(0.0).alias("gain"))
-    gains = shared.union(others).groupBy("bag", "class").agg(F.sum("gain").alias("gain"))
-    return (
-        gains.join(model.classes, "class")
-        .join(lengths, "bag")
-        .withColumn("p", F.col("len") * F.col("base") - F.col("constant") + F.col("gain"))
-    )
+def class_block(label: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int")
 
 
-def length_sums(lengths: DataFrame, model: ComplementModel) -> DataFrame:
+def fallback_scores(lengths: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
+    """(bag, class, p) of the classes that can be among a bag's top k without sharing a token with it."""
+    others = lengths.select("bag", "len", "constant", F.explode(_fallback(model, k)).alias("class"))
+    return others.join(model.classes, "class").select("bag", "class", (F.col("len") * F.col("base") - F.col("constant")).alias("p"))
+
+
+def length_sums(lengths: DataFrame, model: ComplementModel, blocks: int) -> DataFrame:
     """(len, top, flat, flat_s) per distinct bag length: sums over all classes as if no token were shared.
 
-    Classes without gain depend on a bag through its length only, so this is once per length over the
-    class table (at most 20,000 classes by the class cap, one array).
+    Classes without gain depend on a bag through its length only. Lengths meet the classes block by block, and what
+    leaves a task is one row for each length.
     """
-    bases = model.classes.agg(
-        F.struct(F.max("base").alias("top"), F.collect_list("base").alias("all")).alias("b")
-    ).scalar()
-    offset = lambda v: F.col("len") * (v - F.col("b.top"))
-    return (
-        lengths.select("len")
-        .distinct()
-        .withColumn("b", bases)
-        .select(
-            "len",
-            (F.col("len") * F.col("b.top")).alias("top"),
-            F.aggregate("b.all", F.lit(0.0), lambda acc, v: acc + F.exp(offset(v))).alias("flat"),
-            F.aggregate("b.all", F.lit(0.0), lambda acc, v: acc + F.exp(offset(v)) * offset(v)).alias("flat_s"),
-        )
-    )
+    top = model.classes.agg(F.max("base")).scalar()
+    classes = model.classes.select(class_block("class", blocks).alias("block"), (F.col("base") - top).alias("base"))
+    asked = lengths.select("len").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    s = F.col("len") * F.col("base")
+    sums = asked.join(classes, "block").groupBy("len").agg(F.sum(F.exp(s)).alias("flat"), F.sum(F.exp(s) * s).alias("flat_s"))
+    return sums.withColumn("top", F.col("len") * top)
+
 
+UNIT_SUMS = "shift double, mass double, mass_s double, flat double, flat_s double"
 
-def bag_totals(scores: DataFrame) -> DataFrame:
-    """(bag, shift, spread): what turns a score into a log probability over all classes, and the entropy."""
-    placed = scores.withColumn("s", F.col("len") * F.col("base") - F.col("top"))
-    raised = F.exp(F.col("s") + F.col("gain"))
-    per_bag = placed.groupBy("bag").agg(
-        F.first("flat").alias("flat"),
-        F.first("flat_s").alias("flat_s"),
-        F.first("top").alias("top"),
-        F.first("constant").alias("constant"),
-        F.sum(raised - F.exp("s")).alias("more"),
-        F.sum(raised * (F.col("s") + F.col("gain")) - F.exp("s") * F.col("s")).alias("more_s"),
+
+def _score_unit(asked: pa.Table, given: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """Scores of some bags against one block of classes, from the block's inverted lists.
+
+    asked: (bag, token, x, len, constant); given: (token, class, gain, base, rel), each sorted list of a token being the
+    classes of the block that hold it. For each bag: its k best classes of those that share a token with it, and one row
+    of sums over all of these, with their gains and without.
+    """
+    if not asked.num_rows or not given.num_rows:
+        return schema.empty_table()
+    tokens, classes, bags = pc.unique(given["token"]), pc.unique(given["class"]), pc.unique(asked["bag"])
+    classes = classes.take(pc.array_sort_indices(classes))  # equal scores go by class
+    place = lambda t, c, among: pc.index_in(t[c], value_set=among).combine_chunks().to_numpy(zero_copy_only=False)
+    column = place(given, "class", classes)
+    base, rel = np.empty(len(classes)), np.empty(len(classes))
+    base[column], rel[column] = given["base"].to_numpy(), given["rel"].to_numpy()
+    list_of = place(given, "token", tokens)
+    order = np.lexsort((column, list_of))
+    column, gain = column[order], given["gain"].to_numpy()[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(list_of, minlength=len(tokens)))])
+    bag, token = place(asked, "bag", bags), place(asked, "token", tokens)
+    x = asked["x"].to_numpy().astype(float)
+    length, constant = np.empty(len(bags)), np.empty(len(bags))
+    length[bag], constant[bag] = asked["len"].to_numpy(), asked["constant"].to_numpy()
+    found: dict[str, list] = {n: [] for n in schema.names}
+    step = max(1, CELLS // len(classes))
+    for at in range(0, len(bags), step):
+        here = np.flatnonzero((bag >= at) & (bag < at + step))
+        here = here[np.argsort(token[here], kind="stable")]
+        gains = np.zeros((min(step, len(bags) - at), len(classes)))
+        for own in np.split(here, np.flatnonzero(np.diff(token[here])) + 1):
+            t = token[own[0]]
+            row, holds = bag[own] - at, slice(ends[t], ends[t + 1])
+            gains[np.ix_(row, column[holds])] += np.outer(x[own], gain[holds])
+        some = slice(at, at + len(gains))
+        shared = gains > 0
+        flat = length[some, None] * rel[None, :]
+        score = np.where(shared, flat + gains, -np.inf)
+        shift = np.maximum(score.max(axis=1), 0.0)
+        raised = np.exp(score - shift[:, None])
+        plain = np.where(shared, np.exp(flat), 0.0)
+        p = np.where(shared, length[some, None] * base[None, :] - constant[some, None] + gains, -np.inf)
+        sums = (shift, raised.sum(axis=1), (raised * np.where(shared, score, 0.0)).sum(axis=1), plain.sum(axis=1), (plain * flat).sum(axis=1))
+        for name, values in zip(("shift", "mass", "mass_s", "flat", "flat_s"), sums, strict=True):
+            found[name].append(pa.array(values))
+        key = np.round(p, 9)
+        limit = -np.partition(-key, min(k, len(classes)) - 1, axis=1)[:, min(k, len(classes)) - 1]
+        for i in range(len(gains)):
+            best = np.flatnonzero((key[i] >= limit[i]) & shared[i])
+            best = best[np.argsort(-key[i, best], kind="stable")[:k]]
+            found["bag"].append((at + i, best, p[i, best]))
+    own, best, p = (np.concatenate(c) for c in zip(*((np.full(len(b), i), b, v) for i, b, v in found["bag"]), strict=True))
+    none = pa.nulls(len(own), pa.float64())
+    top = pa.table([bags.take(pa.array(own)), classes.take(pa.array(best)), pa.array(p), *[none] * 5], schema=schema)
+    names = schema.names[3:]
+    rows = [bags, pa.nulls(len(bags), schema.field("class").type), pa.nulls(len(bags), pa.float64()), *(pa.concat_arrays(found[n]) for n in names)]
+    return pa.concat_tables([top, pa.table(rows, schema=schema)])
+
+
+def block_scores(tokens: DataFrame, lengths: DataFrame, model: ComplementModel, blocks: int, parts: int, k: int = TOP) -> DataFrame:
+    """(bag, class, p) of the best classes of each visited block, and (bag, sums) of the block, in one table.
+
+    Bags visit the blocks of classes that hold one of their tokens. No score leaves its task but for k of a bag and
+    block: what is shuffled are tokens of bags, once for each block they visit, and at most k + 1 rows for each bag and
+    block. A token that all classes share is one list in each block.
+    """
+    top = model.classes.agg(F.max("base")).scalar()
+    weights = model.pairs.join(model.classes, "class").select(
+        class_block("class", blocks).alias("block"), "token", "class", "gain", "base", (F.col("base") - top).alias("rel")
     )
-    mass = F.col("flat") + F.col("more")
-    return per_bag.select(
-        "bag",
-        (F.col("constant") - F.col("top") - F.ln(mass)).alias("shift"),
-        (F.ln(mass) - (F.col("flat_s") + F.col("more_s")) / mass).alias("spread"),
+    places = model.pairs.select("token", class_block("class", blocks).alias("block")).distinct()
+    part = F.pmod(F.xxhash64("bag"), F.lit(parts)).cast("int").alias("part")
+    asked = tokens.join(lengths, "bag").join(places, "token").select("block", part, "bag", "token", "x", "len", "constant")
+    given = weights.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kind = model.classes.schema["class"].dataType.simpleString()
+    ddl = f"bag string, class {kind}, p double, {UNIT_SUMS}"
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+    keys = ["block", "part"]
+    return asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(lambda a, g: _score_unit(a, g, k, schema), ddl)
+
+
+def bag_totals(units: DataFrame) -> DataFrame:
+    """(bag, shift, mass, mass_s, flat, flat_s) of all visited blocks of a bag, on one scale."""
+    sums = units.where("class IS NULL").withColumn("most", F.max("shift").over(Window.partitionBy("bag")))
+    scale = F.exp(F.col("shift") - F.col("most"))
+    return sums.groupBy("bag").agg(
+        F.max("most").alias("shift"),
+        F.sum(F.col("mass") * scale).alias("mass"),
+        F.sum(F.col("mass_s") * scale).alias("mass_s"),
+        F.sum("flat").alias("seen"),
+        F.sum("flat_s").alias("seen_s"),
     )
 
 
-def attribute(df: DataFrame, model: ComplementModel, k: int = TOP) -> DataFrame:
+def attribute(
+    df: DataFrame, model: ComplementModel, k: int = TOP, block_classes: int = CLASS_BLOCK, bag_part: int = BAG_PART
+) -> DataFrame:
     """Result columns for the rows of a frame from `with_bag`: RES_Previsto, RES_Confianca,
-    RES_Top1..k with probabilities, RES_Entropia, RES_Margem."""
-    # A bag fans out to every class it shares a token with, so tasks sized by the bags alone would be
-    # too large. An explicit, wider partitioning is kept as it is by AQE.
-    width = FAN_OUT * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = bag_tokens(df).repartition(width, "bag")
-    lengths = bag_lengths(tokens, model)
-    # Sums by length are joined to the bags, not to their far more numerous (bag, class) scores.
-    lengths = lengths.join(length_sums(lengths, model), "len")
-    scores = bag_scores(tokens, lengths, model, k)
-    best = top_classes(scores, ["bag"], k)
-    totals = bag_totals(scores)
+    RES_Top1..k with probabilities, RES_Entropia, RES_Margem.
+
+    Scores are exact over all classes, whatever their number: `block_classes` (classes that meet a bag at once, about) and
+    `bag_part` change no result beyond the last bits of sums.
+    """
+    model = model.kept()
+    tokens = stored(bag_tokens(df), "bags")
+    lengths = stored(bag_lengths(tokens, model), "bag-lengths")
+    blocks = max(1, -(-model.classes.count() // block_classes), -(-model.pairs.count() // PAIRS))
+    parts = max(1, -(-lengths.count() // bag_part))
+    units = stored(block_scores(tokens, lengths, model, blocks, parts, k), "bag-scores")
+    candidates = units.where("class IS NOT NULL").select("bag", "class", "p").unionByName(fallback_scores(lengths, model, k))
+    best = top_classes(candidates.groupBy("bag", "class").agg(F.max("p").alias("p")), ["bag"], k)
+    # All classes as if nothing were shared, less those that share a token, plus these with their gains.
+    placed = lengths.join(length_sums(lengths, model, blocks), "len").join(bag_totals(units), "bag", "left")
+    shift = F.coalesce("shift", F.lit(0.0))
+    rest = lambda flat, seen: (F.col(flat) - F.coalesce(seen, F.lit(0.0))) * F.exp(-shift)
+    mass = rest("flat", "seen") + F.coalesce("mass", F.lit(0.0))
+    mass_s = rest("flat_s", "seen_s") + F.coalesce("mass_s", F.lit(0.0))
+    logarithm = F.ln(mass) + shift
+    totals = placed.select("bag", (F.col("constant") - F.col("top") - logarithm).alias("shift"), (logarithm - mass_s / mass).alias("spread"))
     probability = {r: F.exp(F.col(f"Top{r}_p") + F.col("shift")) for r in range(1, k + 1)}
-    per_bag = (
-        best.join(totals, "bag")
-        .select(
-            "bag",
-            F.col("Top1").alias("RES_Previsto"),
-            half_even(probability[1], 4).alias("RES_Confianca"),
-            *[
-                c
-                for r in range(1, k + 1)
-                for c in (F.col(f"Top{r}").alias(f"RES_Top{r}"), half_even(probability[r], 4).alias(f"RES_Top{r}_p"))
-            ],
-            half_even(F.col("spread"), 4).alias("RES_Entropia"),
-            half_even(
-                probability[1] - F.coalesce(probability[2], probability[1]) if k > 1 else F.lit(0.0), 4
-            ).alias("RES_Margem"),
-        )
+    per_bag = best.join(totals, "bag").select(
+        "bag",
+        F.col("Top1").alias("RES_Previsto"),
+        half_even(probability[1], 4).alias("RES_Confianca"),
+        *[
+            c
+            for r in range(1, k + 1)
+            for c in (F.col(f"Top{r}").alias(f"RES_Top{r}"), half_even(probability[r], 4).alias(f"RES_Top{r}_p"))
+        ],
+        half_even(F.col("spread"), 4).alias("RES_Entropia"),
+        half_even(probability[1] - F.coalesce(probability[2], probability[1]) if k > 1 else F.lit(0.0), 4).alias("RES_Margem"),
     )
     return df.join(per_bag, "bag", "left").drop("bag", "tokens")
 
@@ -222,11 +308,9 @@ def soft_vote(models: list[tuple[DataFrame, float]], row: str = "row", label: st
 
 
 def result_columns(scores: DataFrame, row: str = "row", label: str = "class", k: int = TOP) -> DataFrame:
-    """Result columns from complete class probabilities in long form."""
-    best = top_classes(scores, [row], k, label, digits=12)
-    spread = scores.groupBy(row).agg(F.collect_list("p").alias("ps")).select(
-        row, half_even(entropy(F.col("ps")), 4).alias("RES_Entropia"), half_even(margin(F.col("ps")), 4).alias("RES_Margem")
-    )
+    """Result columns from complete class probabilities in long form; entropy and margin are plain aggregates of a row."""
+    best = top_classes(scores, [row], max(k, 2), label, digits=12)
+    spread = scores.groupBy(row).agg(half_even(-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-12))), 4).alias("RES_Entropia"))
     return best.join(spread, row).select(
         row,
         F.col("Top1").alias("RES_Previsto"),
@@ -237,7 +321,7 @@ def result_columns(scores: DataFrame, row: str = "row", label: str = "class", k:
             for c in (F.col(f"Top{r}").alias(f"RES_Top{r}"), half_even(F.col(f"Top{r}_p"), 4).alias(f"RES_Top{r}_p"))
         ],
         "RES_Entropia",
-        "RES_Margem",
+        half_even(F.coalesce(F.col("Top1_p") - F.col("Top2_p"), F.lit(0.0)), 4).alias("RES_Margem"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions.numeric import lenient_double
 from portolan.operators.quantiles import exact_quantiles, quantiles
-from portolan.session import scratch_path
+from portolan.session import stored
 
 IQR_FACTOR = 1.5
 
@@ -95,13 +95,6 @@ def nearest(owner: np.ndarray, squared: np.ndarray, near: np.ndarray, rows: np.n
     return order[used > 0], used[used > 0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once under the shared folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _total(parts: list[Column]) -> Column:
     out = parts[0]
     for part in parts[1:]:

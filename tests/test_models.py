@@ -1,5 +1,7 @@
 """Calibration, privacy, outliers and attribution against brute force and known properties."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +181,41 @@ def test_complement_bayes_equals_brute_force(spark):
         assert got[i]["RES_Entropia"] == pytest.approx(-(prob * np.log(prob)).sum(), abs=6e-5)
 
 
+def test_class_blocks_change_no_result(spark):
+    """Many small blocks and parts against one of each: ties, a word that every class uses, long and unknown texts."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    train = [(f"c{i:03d}", " ".join(["all", *rng.choice(words, rng.integers(0, 6))])) for i in range(120)]
+    asked = [(i, " ".join(rng.choice([*words, "all", "none"], rng.integers(0, 9)))) for i in range(80)]
+    asked += [(100, "all"), (101, "all " * 400 + "w1 " * 300), (102, None), (103, "")]
+    rows = a.with_bag(spark.createDataFrame(asked, "id int, text string"), word_tokens(F.col("text")))
+    model = a.complement_model(a.complement_counts(a.with_bag(spark.createDataFrame(train, "label string, text string"), word_tokens(F.col("text"))), "label"))
+    one = {r["id"]: r for r in a.attribute(rows, model).collect()}
+    many = {r["id"]: r for r in a.attribute(rows, model, block_classes=7, bag_part=5).collect()}
+    assert one.keys() == many.keys() == {i for i, _ in asked}
+    for i, r in one.items():
+        assert [r[f"RES_Top{k}"] for k in range(1, 6)] == [many[i][f"RES_Top{k}"] for k in range(1, 6)]
+        assert all(abs(r[c] - many[i][c]) <= 1.01e-4 for c in ("RES_Confianca", "RES_Entropia", "RES_Margem") if i != 102)
+    assert one[102]["RES_Confianca"] is many[102]["RES_Confianca"] is None  # a row without text has no bag
+    assert math.isfinite(one[101]["RES_Entropia"])
+    # Classes of one word only, all alike: every class is first by its name alone.
+    same = a.with_bag(spark.createDataFrame([(f"k{i:04d}", "all") for i in range(500)], "label string, text string"), word_tokens(F.col("text")))
+    flat = a.complement_model(a.complement_counts(same, "label"))
+    r = a.attribute(rows.where("id = 100"), flat, block_classes=16).first()
+    assert [r[f"RES_Top{k}"] for k in range(1, 6)] == [f"k{i:04d}" for i in range(5)]
+    assert r["RES_Confianca"] == 0.002 and r["RES_Entropia"] == pytest.approx(math.log(500), abs=6e-5)
+
+
+def test_attribution_shuffles_no_scores(spark):
+    """Rows that leave the blocks: k + 1 for each bag and block at most, though every bag shares a word with every class."""
+    train = a.with_bag(spark.createDataFrame([(f"c{i:03d}", f"all w{i % 9}") for i in range(300)], "label string, text string"), word_tokens(F.col("text")))
+    model = a.complement_model(a.complement_counts(train, "label"))
+    tokens = a.bag_tokens(train)
+    lengths = a.bag_lengths(tokens, model)
+    units = a.block_scores(tokens, lengths, model, blocks=10, parts=2, k=3).collect()
+    assert len(units) == 9 * 10 * 4
+
+
 def test_model_reload_gives_equal_scores(spark, tmp_path):
     train = a.with_bag(
         spark.createDataFrame([("x", "aa bb"), ("y", "bb cc"), ("z", "cc")], "label string, text string"), word_tokens(F.col("text"))
