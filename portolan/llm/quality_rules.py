@@ -203,9 +203,10 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
     """The rows that the base rule and the list keep, with all their columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # Rules are learned from labelled rows alone; the others are measured once, where they are judged.
-    known = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id")).distinct()
-    labelled = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(known, "doc_id", "left_semi")
+    # Rules are learned from the labelled sample alone, whose ids are few enough to send to every task; the other rows
+    # are measured once, where they are judged.
+    known = sampled(labels.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL"), fit_options.get("sample_rows", SAMPLE_ROWS)).distinct()
+    labelled = df.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(known), "doc_id", "left_semi")
     rules = fit(stored(measure(labelled), "labelled-counts"), labels, id_col, **fit_options)
     measured = measure(packed(df, doc_id=F.col(id_col), text=text))
     return measured.where(~F.expr(BASE_FAILED) & verdict(rules)).select("row.*")

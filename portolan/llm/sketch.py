@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from portolan.llm.hashing import mix
-
 from portolan.llm.support import releasing
 
 PAGE = 1 << 16  # bytes
