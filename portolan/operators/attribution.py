@@ -51,15 +51,13 @@ def bag_tokens(df: DataFrame) -> DataFrame:
 def complement_counts(df: DataFrame, label: str) -> DataFrame:
     """(token, class, n): the sufficient statistic. Counts of batches add up, in any order.
 
-    Rows are first counted per (bag, class), so repeated texts are exploded once.
+    Rows are first counted per (bag, class), and only the distinct bags are exploded into tokens.
     """
-    bags = df.groupBy("bag", F.col(label).alias("class")).agg(
-        F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")
-    )
+    copies = df.groupBy("bag", F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("copies"))
     return (
-        bags.select("class", "copies", F.explode("tokens").alias("token"))
+        copies.join(bag_tokens(df).where("token IS NOT NULL"), "bag")
         .groupBy("token", "class")
-        .agg(F.sum("copies").alias("n"))
+        .agg(F.sum(F.col("copies") * F.col("x")).alias("n"))
     )
 
 

@@ -45,7 +45,7 @@ def _bags(spark, d):
     {he("ent", 4)} AS RES_Entropia, {he("p1 - p2", 4)} AS RES_Margem FROM rows_b JOIN wide USING (bag)""",
 )
 def cnb(spark, d):
-    rows = _bags(spark, d)
+    rows = _stored(spark, _bags(spark, d), "bags")  # texts are read and cut into words once
     # The trained counts are stored, as the lots of a stream store theirs: scoring does not train again.
     model = a.complement_model(_stored(spark, a.complement_counts(rows, "cnpj"), "counts"))
     return a.attribute(rows, model).drop("descricao")
