@@ -41,10 +41,13 @@ NEIGHBOURS = 20
 CONTAMINATION = 0.1
 DAMPING = 0.3
 MIN_ROWS = 10
-# Sizes of tasks, without influence on results: points of a cell, parts a cell is cut into, points met by a cell at once.
+# Sizes of tasks, without influence on results: points of a cell, points that visit a cell at once, distances held, points that
+# the cuts are taken from (about) and those that a cell keeps of them at least.
 BLOCK_POINTS = 1000
-PARTS = 16
 VISITS = 4000
+HELD = 1 << 21
+SAMPLE = 1 << 17
+LEAST = 16
 
 
 def lof_of_points(points: np.ndarray, copies: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
@@ -95,148 +98,234 @@ def nearest(owner: np.ndarray, squared: np.ndarray, near: np.ndarray, rows: np.n
     return order[used > 0], used[used > 0]
 
 
-def _total(parts: list[Column]) -> Column:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out + part
+class Regions:
+    """Cuts of a space at medians of a sample; the regions that remain are numbered from 0 to 2^depth - 1."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        self.depth = depth
+        self.axis, self.cut = np.zeros(1 << depth, np.int32), np.zeros(1 << depth)
+        held = {1: sample}
+        for node in range(1, 1 << depth):
+            rows = held.pop(node)
+            if len(rows):
+                spread = np.quantile(rows, 0.95, axis=0) - np.quantile(rows, 0.05, axis=0)
+                spread = spread if spread.max() > 0 else rows.max(axis=0) - rows.min(axis=0)
+                self.axis[node] = axis = int(spread.argmax())
+                values = np.sort(rows[:, axis])
+                middle = values[(len(values) - 1) // 2]
+                smaller = values[values < values[-1]]
+                self.cut[node] = min(middle, smaller[-1]) if len(smaller) else middle
+            right = rows[:, self.axis[node]] > self.cut[node]
+            held[2 * node], held[2 * node + 1] = rows[~right], rows[right]
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        node = np.ones(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + (x[np.arange(len(x)), self.axis[node]] > self.cut[node])
+        return node - (1 << self.depth)
+
+    def within(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, region) of the regions that a ball of squared radius `bound` around each row can reach."""
+        bound = bound * (1 + 1e-9)  # the squares of a gap and of a distance are summed alike; this covers their rounding
+        row, node, gaps = np.arange(len(x)), np.ones(len(x), np.int64), np.zeros_like(x)
+        for _ in range(self.depth):
+            axis = self.axis[node]
+            past = x[row, axis] - self.cut[node]
+            right = past > 0
+            far = gaps.copy()
+            at = np.arange(len(row))
+            far[at, axis] = np.maximum(far[at, axis], np.abs(past))
+            keep = np.flatnonzero((far**2).sum(axis=1) <= bound[row])
+            row = np.concatenate([row, row[keep]])
+            node = np.concatenate([2 * node + right, 2 * node[keep] + ~right[keep]])
+            gaps = np.concatenate([gaps, far[keep]])
+        return row, node - (1 << self.depth)
+
+
+def _regions(points: DataFrame, names: list[str], cell_points: int) -> dict[str, Regions]:
+    """Cuts of each scope that has more points than a cell, from about SAMPLE points of all scopes together."""
+    n = points.count()
+    drawn = F.pmod(F.xxhash64("lof_id", F.lit(7)), F.lit(1 << 30)) <= int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    sample = points.where(drawn).select("lof_scope", *names).toPandas()
+    grown = n / max(len(sample), 1)
+    out = {}
+    for scope, part in sample.groupby("lof_scope", sort=False):
+        depth = min(int(np.ceil(np.log2(max(1.0, len(part) * grown / cell_points)))), int(np.log2(max(len(part) / LEAST, 1.0))))
+        if depth:
+            out[scope] = Regions(part[names].to_numpy(float), depth)
     return out
 
 
-def _cells(points: DataFrame, names: list[str], cell_points: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Points with `cell` and `bound` (at least the square of their k-distance), and the boxes of each level of cells.
-
-    Cells with more points are cut at the quantiles of their widest column, a value that holds several quantiles apart.
+def _bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of an array of 8-byte numbers."""
+    offsets = (np.concatenate([[0], ends]) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _numbers(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column one after another, and how many each value holds."""
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), dtype), np.fromiter((len(x) // 8 for x in data), np.int64, len(data))
+
+
+LIST = "lof_scope string, home int, lof_id long, k long, near binary, squared binary, rows binary"
+FOUND = LIST + ", coordinates binary, bound double"
+SETTLED = "lof_scope string, home int, lof_id long, own boolean, k long, reach double, near binary, distance binary, used binary"
+
+
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, KINDS[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _table(ddl: str, *columns) -> pa.Table:
+    return pa.table(list(columns), schema=_schema(ddl))
+
+
+def _found(asked: pa.Table, given: pa.Table, home: str, width: int) -> pa.Table:
+    """The nearest points of a cell for each one that asks, within its bound so far, and the bound that they give."""
+    given = given.sort_by("lof_id")
+    ids, copies = given["lof_id"].to_numpy(), given["copies"].to_numpy()
+    there = _numbers(given["coordinates"], "<f8")[0].reshape(-1, width)
+    parts = []
+    for start in range(0, asked.num_rows, step := max(1, HELD // max(len(ids), 1))):
+        part = asked.slice(start, step).combine_chunks()
+        own, k, bound = (part[c].to_numpy() for c in ("lof_id", "k", "bound"))
+        here = _numbers(part["coordinates"], "<f8")[0].reshape(-1, width)
+        squared = np.zeros((part.num_rows, len(ids)))
+        for n in range(width):
+            squared += (here[:, n, None] - there[None, :, n]) ** 2
+        limit, most = bound, int(k.max())
+        if most < len(ids):
+            limit = np.minimum(bound, np.partition(squared, most, axis=1)[:, most])
+        i, j = np.nonzero(squared <= limit[:, None])
+        rows = copies[j] - (own[i] == ids[j])
+        i, j, rows = i[rows > 0], j[rows > 0], rows[rows > 0]
+        at, used = nearest(i, squared[i, j], ids[j], rows, k[i])
+        i, j, rows = i[at], j[at], rows[at]
+        enough = np.bincount(i, used, len(own)) >= k
+        reached = np.zeros(len(own))
+        np.maximum.at(reached, i, squared[i, j])
+        ends = np.cumsum(np.bincount(i, minlength=len(own)))
+        lists = (_bytes(ids[j], ends), _bytes(squared[i, j], ends), _bytes(rows, ends))
+        parts.append(_table(FOUND, part["lof_scope"], part[home], own, k, *lists, part["coordinates"], np.where(enough, np.minimum(bound, reached), bound)))
+    return pa.concat_tables(parts) if parts else _schema(FOUND).empty_table()
+
+
+def _settled(lists: pa.Table) -> pa.Table:
+    """Final neighbours of the points of a cell; with `own` false, the points of other cells among them."""
+    near, many = _numbers(lists["near"], "<i8")
+    squared, rows = _numbers(lists["squared"], "<f8")[0], _numbers(lists["rows"], "<i8")[0]
+    ids, place = np.unique(lists["lof_id"].to_numpy(), return_inverse=True)
+    k = np.zeros(len(ids), np.int64)
+    k[place] = lists["k"].to_numpy()
+    owner = np.repeat(place, many)
+    at, used = nearest(owner, squared, near, rows, k[owner])
+    owner, near, distance = owner[at], near[at], np.sqrt(squared[at])
+    reach = np.zeros(len(ids))
+    np.maximum.at(reach, owner, distance)
+    ends = np.cumsum(np.bincount(owner, minlength=len(ids)))
+    scope, home = lists["lof_scope"][0].as_py(), lists["home"][0].as_py()
+    same = lambda n: (pa.array([scope] * n, pa.string()), pa.array([home] * n, pa.int32()))
+    own = _table(SETTLED, *same(len(ids)), ids, pa.array([True] * len(ids)), k, reach, _bytes(near, ends), _bytes(distance, ends), _bytes(used, ends))
+    others = np.setdiff1d(near, ids)
+    none = [pa.nulls(len(others), t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())]
+    return pa.concat_tables([own, _table(SETTLED, *same(len(others)), others, pa.array([False] * len(others), pa.bool_()), *none)])
+
+
+def _around(settled: DataFrame, values: DataFrame, combine, out: str) -> DataFrame:
+    """A value of each point from the values of its neighbours. What crosses cells is one number for each point of
+    another cell that a cell's lists name. combine: (numbers of a list's neighbours, distance, used, k of each point, sum over lists).
     """
-    shares = F.array(*[F.lit((i + 1) / PARTS) for i in range(PARTS - 1)])
-    rest = points.withColumns({"parent": F.lit(None).cast("string"), "cell": F.lit(""), "bound": F.lit(float("inf"))})
-    leaves, levels = None, []
-    while True:
-        limits = [F.array(*[f(n) for n in names]) for f in (F.min, F.max)]
-        boxes = rest.groupBy("lof_scope", "parent", "cell").agg(
-            F.count(F.lit(1)).alias("points"),
-            F.sum("copies").alias("rows"),
-            limits[0].alias("low"),
-            limits[1].alias("high"),
-            F.array(*[F.percentile_approx(n, shares, 1000) for n in names]).alias("cuts"),
-        )
-        widths = F.zip_with("high", "low", lambda a, b: a - b)
-        boxes = boxes.withColumns(
-            {"axis": F.array_position(widths, F.array_max(widths)).cast("int"), "leaf": F.col("points") <= cell_points}
-        ).withColumn("cuts", F.element_at("cuts", F.col("axis")))
-        boxes = stored(boxes, "lof_boxes")
-        levels.append(boxes.select("lof_scope", "parent", "cell", "low", "high", "leaf"))
-        far = _total([F.greatest((F.col(n) - F.col("low")[i]) ** 2, (F.col(n) - F.col("high")[i]) ** 2) for i, n in enumerate(names)])
-        value = F.element_at(F.array(*names), F.col("axis"))
-        below = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < value))
-        often = F.size(F.filter("cuts", lambda c: c == value)) > 1
-        placed = rest.join(boxes.drop("parent", "points"), ["lof_scope", "cell"]).withColumn(
-            "bound", F.when(F.col("rows") > F.col("k"), F.least("bound", far)).otherwise(F.col("bound"))
-        )
-        kept = placed.where("leaf").select("lof_scope", "lof_id", *names, "copies", "k", "cell", "bound")
-        leaves = kept if leaves is None else leaves.unionByName(kept)
-        if boxes.where("NOT leaf").isEmpty():
-            return stored(leaves, "lof_cells"), levels
-        child = F.concat("cell", F.lit("/"), (2 * below + often.cast("int")).cast("string"))
-        rest = placed.where("NOT leaf").select(
-            "lof_scope", "lof_id", *names, "copies", "k", F.col("cell").alias("parent"), child.alias("cell"), "bound"
-        )
-        rest = stored(rest, "lof_rest")
-
-
-CANDIDATE = "lof_id long, near long, squared double, rows long, k long"
-EDGE = "lof_id long, near long, distance double, used long, k long"
+    keys = ["lof_scope", "home"]
+    abroad = settled.where("NOT own").select(*keys, "lof_id").join(values.select("lof_id", "value"), "lof_id").select(*keys, "lof_id", "value")
+    known = values.select(*keys, "lof_id", "value").unionByName(abroad)
+    known = known.select(*[F.col(c).alias(c) for c in known.columns])  # new columns: both sides come from one table
+    ddl = f"lof_scope string, home int, lof_id long, {out} double"
+
+    def gather(lists: pa.Table, numbers: pa.Table) -> pa.Table:
+        if not lists.num_rows:
+            return _schema(ddl).empty_table()
+        near, many = _numbers(lists["near"], "<i8")
+        distance, used = _numbers(lists["distance"], "<f8")[0], _numbers(lists["used"], "<i8")[0]
+        ids = numbers["lof_id"].to_numpy()
+        order = np.argsort(ids)
+        found = numbers["value"].to_numpy()[order][np.searchsorted(ids[order], near)]
+        owner = np.repeat(np.arange(len(many)), many)
+        total = lambda x: np.bincount(owner, x, len(many))  # in the order of the lists: no result depends on the dealing
+        return _table(ddl, lists["lof_scope"], lists["home"], lists["lof_id"], combine(found, distance, used, lists["k"].to_numpy(), total))
+
+    own = settled.where("own").select(*keys, "lof_id", "k", "near", "distance", "used")
+    return own.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(gather, ddl)
 
 
 def _lof_factors(points: DataFrame, names: list[str], cell_points: int) -> DataFrame:
     """points with `factor`, as lof_of_points() gives it over each whole scope.
 
-    Every point meets its own cell first, then the other cells that its k-distance so far reaches. `lof_id` rises with the
-    coordinates, which settles equal distances.
+    Every point meets its own cell first, then the other cells that its k-distance so far reaches. Its neighbours are one
+    row with its cell; later steps send one number for each point that another cell's lists name, not one for each neighbour.
+    `lof_id` rises with the coordinates, which settles equal distances.
     """
-    cells, levels = _cells(points, names, cell_points)
-    schema = CANDIDATE + ", bound double"
-
-    def found(asked: pa.Table, given: pa.Table) -> pa.Table:
-        given = given.sort_by("lof_id")
-        column = lambda t, n: t.column(n).to_numpy()
-        ids, copies = column(given, "lof_id"), column(given, "copies")
-        there = [column(given, n) for n in names]
-        parts = []
-        for start in range(0, asked.num_rows, BLOCK_POINTS):
-            part = asked.slice(start, BLOCK_POINTS)
-            own, k, bound = column(part, "lof_id"), column(part, "k"), column(part, "bound")
-            squared = np.zeros((part.num_rows, len(ids)))
-            for n, x in zip(names, there, strict=True):
-                squared += (column(part, n)[:, None] - x[None, :]) ** 2
-            most = int(k.max())
-            if most < len(ids):
-                bound = np.minimum(bound, np.partition(squared, most, axis=1)[:, most])
-            i, j = np.nonzero(squared <= bound[:, None])
-            rows = copies[j] - (own[i] == ids[j])
-            i, j, rows = i[rows > 0], j[rows > 0], rows[rows > 0]
-            at, used = nearest(i, squared[i, j], ids[j], rows, k[i])
-            i, j, rows = i[at], j[at], rows[at]
-            enough = np.bincount(i, used, len(own)) >= k
-            reached = np.zeros(len(own))
-            np.maximum.at(reached, i, squared[i, j])
-            bound = np.where(enough, np.minimum(bound, reached), column(part, "bound"))
-            parts.append(pa.table([own[i], ids[j], squared[i, j], rows, k[i], bound[i]], [c.split()[0] for c in schema.split(", ")]))
-            # A point alone in its cell has no candidate yet and still asks other cells.
-            lone = np.setdiff1d(np.arange(len(own)), i)
-            if len(lone):
-                none = pa.nulls(len(lone), pa.int64())
-                parts.append(pa.table([own[lone], none, pa.nulls(len(lone), pa.float64()), none, k[lone], bound[lone]], parts[-1].column_names))
-        return pa.concat_tables(parts)
-
-    inside = stored(cells.groupBy("lof_scope", "cell").applyInArrow(lambda t: found(t, t), schema), "lof_inside")
-    bounds = inside.groupBy("lof_id").agg(F.max("bound").alias("bound"))
-    # The squares of a box and of a point are summed alike; the margin covers what rounding may add.
-    probes = cells.drop("bound").withColumnRenamed("cell", "home").join(bounds, "lof_id").withColumn("cell", F.lit(""))
-    visits = None
-    for boxes in levels[1:]:
-        gap = _total(
-            [F.greatest(F.col("low")[i] - F.col(n), F.col(n) - F.col("high")[i], F.lit(0.0)) ** 2 for i, n in enumerate(names)]
-        )
-        kept = [c for c in probes.columns if c != "cell"]
-        met = probes.withColumnRenamed("cell", "parent").join(boxes, ["lof_scope", "parent"]).where(gap <= F.col("bound") * (1 + 1e-9))
-        met = stored(met.select(*kept, "cell", "leaf"), "lof_met")
-        here = met.where("leaf AND cell <> home").drop("leaf")
-        visits = here if visits is None else visits.unionByName(here)
-        probes = met.where("NOT leaf").drop("leaf")
+    trees, width = _regions(points, names, cell_points), len(names)
+
+    def by_scope(batch: pa.RecordBatch):
+        scopes = batch.column("lof_scope").dictionary_encode()
+        for code, scope in enumerate(scopes.dictionary.to_pylist()):
+            yield trees.get(scope), np.flatnonzero(scopes.indices.to_numpy() == code)
+
+    def place(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy() for n in names])
+            cell = np.zeros(len(x), np.int32)
+            for tree, rows in by_scope(batch):
+                if tree:
+                    cell[rows] = tree.home(x[rows])
+            data = _bytes(x.ravel(), np.arange(1, len(x) + 1) * width)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lof_scope"), pa.array(cell), batch.column("lof_id"), batch.column("k"), batch.column("copies"), data],
+                ["lof_scope", "cell", "lof_id", "k", "copies", "coordinates"],
+            )
+
+    placed = stored(points.mapInArrow(place, "lof_scope string, cell int, lof_id long, k long, copies long, coordinates binary"), "lof_cells")
+    first = placed.withColumn("bound", F.lit(float("inf")))
+    inside = stored(first.groupBy("lof_scope", "cell").applyInArrow(lambda t: _found(t, t, "cell", width), FOUND), "lof_inside")
+
+    def visit(batches):
+        for batch in batches:
+            x = _numbers(pa.chunked_array([batch.column("coordinates")]), "<f8")[0].reshape(-1, width)
+            bound, home = batch.column("bound").to_numpy(), batch.column("home").to_numpy()
+            for tree, rows in by_scope(batch):
+                for at in range(0, len(rows) if tree else 0, BLOCK_POINTS):
+                    some = rows[at : at + BLOCK_POINTS]
+                    row, cell = tree.within(x[some], bound[some])
+                    row = some[row]
+                    row, cell = row[cell != home[row]], cell[cell != home[row]]
+                    part = batch.select(["lof_scope", "home", "lof_id", "k", "coordinates", "bound"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32))], [*part.schema.names, "cell"])
+
+    seen = "lof_scope string, home int, lof_id long, k long, coordinates binary, bound double, cell int"
+    visits = stored(inside.select("lof_scope", "home", "lof_id", "k", "coordinates", "bound").mapInArrow(visit, seen), "lof_visits")
     loads = visits.groupBy("lof_scope", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(VISITS))).alias("shares"))
     loads = stored(loads, "lof_loads")
     asked = visits.join(loads, ["lof_scope", "cell"]).withColumn("share", F.pmod(F.xxhash64("lof_id"), F.col("shares")))
-    given = cells.join(loads, ["lof_scope", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    given = placed.join(loads, ["lof_scope", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     keys = ["lof_scope", "cell", "share"]
-
-    empty = pa.table([pa.array([], pa.float64() if c.split()[1] == "double" else pa.int64()) for c in schema.split(", ")], [c.split()[0] for c in schema.split(", ")])
-    outside = (
-        asked.select(*keys, "lof_id", *names, "k", "bound").groupBy(*keys)
-        .cogroup(given.select(*keys, "lof_id", *names, "copies").groupBy(*keys))
-        .applyInArrow(lambda a, g: found(a, g) if a.num_rows and g.num_rows else empty, schema)
-    )
-    candidates = inside.unionByName(outside).where("near IS NOT NULL").drop("bound")
-
-    def settle(t: pa.Table) -> pa.Table:
-        own, near, squared, rows, k = (t.column(c.split()[0]).to_numpy() for c in CANDIDATE.split(", "))
-        at, used = nearest(own, squared, near, rows, k)
-        return pa.table([own[at], near[at], np.sqrt(squared[at]), used, k[at]], [c.split()[0] for c in EDGE.split(", ")])
-
-    parts = max(1, points.count() // VISITS)
-    edges = candidates.groupBy(F.pmod(F.xxhash64("lof_id"), F.lit(parts)).alias("part")).applyInArrow(settle, EDGE)
-    edges = stored(edges, "lof_edges")
-    # Sums in the order of the neighbours, so that no result depends on how rows were dealt.
-    summed = lambda c: F.aggregate(
-        F.array_sort(F.collect_list(F.struct("distance", "near", c.alias("part")))), F.lit(0.0), lambda a, x: a + x["part"]
-    )
-    reach = edges.groupBy(F.col("lof_id").alias("near")).agg(F.max("distance").alias("k_distance"))
-    density = edges.join(reach, "near").groupBy("lof_id").agg(
-        (1 / (summed(F.col("used") * F.greatest("distance", "k_distance")) / F.first("k") + 1e-10)).alias("density")
-    )
-    density = stored(density, "lof_density")
-    around = edges.join(density.select(F.col("lof_id").alias("near"), "density"), "near")
-    mean = around.groupBy("lof_id").agg((summed(F.col("used") * F.col("density")) / F.first("k")).alias("mean"))
-    factor = density.join(mean, "lof_id").select("lof_id", (F.col("mean") / F.col("density")).alias("factor"))
+    asked = asked.select(*keys, "home", "lof_id", "k", "coordinates", "bound")
+    given = given.select(*keys, "lof_id", "copies", "coordinates")
+    outside = asked.groupBy(*keys).cogroup(given.groupBy(*keys)).applyInArrow(lambda a, g: _found(a, g, "home", width), FOUND)
+    columns = [c.split()[0] for c in LIST.split(", ")]
+    lists = inside.select(*columns).unionByName(outside.select(*columns))
+    settled = stored(lists.groupBy("lof_scope", "home").applyInArrow(_settled, SETTLED), "lof_lists")
+    reach = settled.where("own").select("lof_scope", "home", "lof_id", F.col("reach").alias("value"))
+
+    def density(reached, distance, used, k, total):
+        return 1.0 / (total(used * np.maximum(distance, reached)) / k + 1e-10)
+
+    dense = stored(_around(settled, reach, density, "density"), "lof_density")
+    mean = _around(settled, dense.withColumnRenamed("density", "value"), lambda dense, _, used, k, total: total(used * dense) / k, "mean")
+    factor = dense.join(mean.select("lof_id", "mean"), "lof_id").select("lof_id", (F.col("mean") / F.col("density")).alias("factor"))
     return stored(points.join(factor, "lof_id"), "lof_factors")
 
 
@@ -268,6 +357,7 @@ def lof_scores(
     keyed = df.withColumns(
         {n: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(0.0) for n, c in zip(names, columns)}
     ).withColumn("lof_scope", F.lit("") if scope is None else F.coalesce(F.col(scope).cast("string"), F.lit("")))
+    keyed = stored(keyed, "lof_rows")  # what comes before is computed once, not again for the result
     points = keyed.groupBy("lof_scope", *names).agg(F.count(F.lit(1)).alias("copies"))
     points = stored(points, "lof_points")
     sizes = points.groupBy("lof_scope").agg(F.count(F.lit(1)).alias("size"), F.sum("copies").alias("rows"))

@@ -261,3 +261,22 @@ def test_bundle_reload_gives_equal_scores(spark, table, tmp_path):
     again, metadata = load_bundle(spark, str(tmp_path / "b"))
     scores = lambda m: [r[0] for r in m.transform(df).orderBy("vmle_dolar").select("probability").collect()]
     assert scores(model) == scores(again) and metadata.first()["v"] == "ncm"
+
+
+def test_regions_in_reach_are_all_found():
+    """Ten correlated columns with ties: a ball meets every region that holds one of its points."""
+    from portolan.operators.outliers import Regions
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(800, 2)) @ rng.normal(size=(2, 10)) + rng.normal(size=(800, 10)) * 0.05
+    x[:, 3] = np.round(x[:, 3])
+    x[:500, 4] = 0.0
+    regions = Regions(x[:300], 5)
+    home = regions.home(x)
+    apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    bound = np.sort(apart, axis=1)[:, 20]
+    row, cell = regions.within(x, bound)
+    reached = set(zip(row.tolist(), cell.tolist(), strict=True))
+    assert len(reached) == len(row)
+    assert all((i, home[j]) in reached for i, j in zip(*np.nonzero(apart <= bound[:, None]), strict=True))
+    assert len(row) < 16 * len(x)
