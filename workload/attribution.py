@@ -144,11 +144,12 @@ def topk_accuracy(spark, d):
 
 @query(
     "log_loss",
-    f"""WITH {VOTE} SELECT {he("avg(-ln(greatest(2.220446049250313e-16::DOUBLE, least(1 - 2.220446049250313e-16::DOUBLE, p))))", 4)} AS log_loss
-    FROM vote v JOIN truth t ON v."row" = t."row" AND v.class = t.y""",
+    f"""WITH {VOTE}, own AS (SELECT t."row", coalesce(max(CASE WHEN v.class = t.y THEN p END), 0) AS p
+      FROM truth t JOIN vote v ON v."row" = t."row" GROUP BY t."row")
+    SELECT {he("avg(-ln(greatest(2.220446049250313e-16::DOUBLE, least(1 - 2.220446049250313e-16::DOUBLE, p))))", 4)} AS log_loss FROM own""",
 )
 def log_loss(spark, d):
-    return m.log_loss(_vote_with_truth(spark, d))
+    return m.log_loss(_vote_with_truth(spark, d), row="row")
 
 
 @query(
