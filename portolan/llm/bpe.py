@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from portolan.llm.support import texts, with_columns
 
 #: Bytes of a cache of encoded words, and the longest word that is remembered.
-CACHED, LONGEST = 64 << 20, 64
+CACHED, LONGEST = 100 << 20, 64
 #: What a place in a dictionary takes.
 ENTRY = 100
 #: White space right before a space: there a cut at the space could divide one match of the pattern.
