@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 
 from portolan.functions.numeric import half_even, hash52, normal_quantile
 from portolan.operators.business import truncated_categories
+from portolan.operators.nearest import nearest_distances
 from portolan.operators.profile import roles_by_type
-from portolan.operators.quantiles import average_rank
+from portolan.operators.quantiles import average_rank, exact_quantiles
+from portolan.session import stored
 
 MAX_CATEGORIES = 500
 RANK_EPS = 1e-6
-DCR_SAMPLE = 1000
 
 
 def normal_scores(df: DataFrame, column: str) -> DataFrame:
@@ -231,57 +234,46 @@ def closest_record_distance(
     original: DataFrame,
     synthetic: DataFrame,
     columns: list[str],
-    key: list[str],
-    sample: int = DCR_SAMPLE,
+    key: list[str] | None = None,
+    sample: int | None = None,
 ) -> DataFrame:
-    """(dcr_min, dcr_med, dcr_p05): distances of sampled synthetic rows to the closest sampled original.
+    """(dcr_min, dcr_med, dcr_p05): distances of synthetic rows to their closest original, in standard deviations.
 
-    The measure is defined on samples of `sample` rows a side. Both are drawn by key hash; the original
-    one becomes a single array of at most `sample` points that each synthetic row is compared with.
+    All rows of both tables are compared, so that one copied record gives 0. With `sample`, as published, that many
+    rows a side are drawn by the hash of `key` first. Rows with a NULL or non-finite column are left out; without
+    columns or rows the figures are NULL.
     """
+    wanted = ("dcr_min", "dcr_med", "dcr_p05")
     if not columns:
-        return original.agg(
-            *[F.lit(None).cast("double").alias(c) for c in ("dcr_min", "dcr_med", "dcr_p05")]
-        )
-    numbers = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
-    o = hash_sample(original.select(*key, *columns), key, sample).select(*numbers)
-    s = hash_sample(synthetic.select(*key, *columns), key, sample).select(*numbers)
+        return original.agg(*[F.lit(None).cast("double").alias(c) for c in wanted])
+    if sample is not None:
+        if not key:
+            raise ValueError("a sample needs the key that it is drawn by")
+        original, synthetic = (hash_sample(t.select(*{*key, *columns}), key, sample) for t in (original, synthetic))
     names = [f"x{i}" for i in range(len(columns))]
-    scale = {n: (F.col(f"f.m{n}"), F.col(f"f.d{n}")) for n in names}
-    fitted = (
-        o.agg(
-            F.struct(
-                *[F.avg(n).alias(f"m{n}") for n in names],
-                *[(F.stddev_pop(n) + F.lit(1e-9)).alias(f"d{n}") for n in names],
-            ).alias("f"),
-            F.collect_list(F.struct(*names)).alias("points"),
-        )
-        .select(
-            "f",
-            F.transform(
-                "points", lambda q: F.struct(*[((q[n] - scale[n][0]) / scale[n][1]).alias(n) for n in names])
-            ).alias("points"),
-        )
-        .select(F.struct("f", "points").alias("fit"))
+    complete = reduce(and_, [F.abs(F.col(n)) < F.lit(float("inf")) for n in names])
+    o, s = (
+        t.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]).where(complete)
+        for t in (original, synthetic)
     )
-
-    def squared(point: Column) -> Column:
-        total = F.lit(0.0)
-        for n in names:
-            total = total + (F.col(n) - point[n]) * (F.col(n) - point[n])
-        return total
-
-    # The sampled rows are spread out again: each is compared with every sampled original.
-    width = int(synthetic.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nearest = (
-        s.repartition(min(width, sample))
-        .withColumn("fit", fitted.scalar())
-        .select("fit.points", *[((F.col(n) - F.col(f"fit.f.m{n}")) / F.col(f"fit.f.d{n}")).alias(n) for n in names])
-        .select(F.sqrt(F.array_min(F.transform("points", squared))).alias("d"))
-    )
-    return nearest.agg(
-        F.min("d").alias("dcr_min"), F.median("d").alias("dcr_med"), F.percentile("d", F.lit(0.05)).alias("dcr_p05")
+    fit = o.agg(
+        F.struct(
+            *[F.avg(n).alias(f"m{n}") for n in names],
+            *[(F.stddev_pop(n) + F.lit(1e-9)).alias(f"d{n}") for n in names],
+        ).alias("fit")
     )
+    fit = stored(fit, "dcr_fit")
+
+    def scaled(t: DataFrame) -> DataFrame:
+        return t.withColumn("fit", fit.scalar()).select(
+            *[((F.col(n) - F.col(f"fit.m{n}")) / F.col(f"fit.d{n}")).alias(n) for n in names]
+        )
+
+    nearest = nearest_distances(scaled(s), scaled(o), names).select("copies", "distance")
+    nearest = stored(nearest, "dcr_distances")
+    found = exact_quantiles(nearest, F.col("distance"), {"dcr_med": 0.5, "dcr_p05": 0.05}, rows=F.col("copies"))
+    least = nearest.agg(F.min("distance").alias("dcr_min"))
+    return least.withColumn("q", found.select(F.struct("dcr_med", "dcr_p05").alias("q")).scalar()).select("dcr_min", "q.*")
 
 
 def generate_and_validate(

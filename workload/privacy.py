@@ -115,26 +115,23 @@ def disclosure(spark, d):
     return p.disclosure_rate(original, synthetic, ["ncm", "uf"])
 
 
-def _sample_sql(alias: str, status: str) -> str:
-    return f"""{alias} AS (SELECT v, w FROM (SELECT {VALUE} AS v, peso_liquido AS w, chave_item, {HASH52.format("chave_item")} AS h FROM imports
-      WHERE l_linestatus = '{status}' AND {VALUE} IS NOT NULL) ORDER BY h, chave_item LIMIT 1000)"""
+def _numbers_sql(alias: str, status: str) -> str:
+    return f"{alias} AS (SELECT {VALUE} AS v, peso_liquido AS w FROM imports WHERE l_linestatus = '{status}' AND {VALUE} IS NOT NULL)"
 
 
 @query(
     "dcr",
-    f"""WITH {IMPORTS}, {_sample_sql("o", "F")}, {_sample_sql("s", "O")},
+    f"""WITH {IMPORTS}, {_numbers_sql("o", "F")}, {_numbers_sql("s", "O")},
     f AS (SELECT avg(v) AS mv, stddev_pop(v) + 1e-9::DOUBLE AS dv, avg(w) AS mw, stddev_pop(w) + 1e-9::DOUBLE AS dw FROM o),
     sn AS (SELECT row_number() OVER () AS i, (v - mv) / dv AS v, (w - mw) / dw AS w FROM s, f),
-    onn AS (SELECT (v - mv) / dv AS v, (w - mw) / dw AS w FROM o, f),
+    onn AS (SELECT DISTINCT (v - mv) / dv AS v, (w - mw) / dw AS w FROM o, f),
     dist AS (SELECT i, sqrt(min((sn.v - onn.v) * (sn.v - onn.v) + (sn.w - onn.w) * (sn.w - onn.w))) AS d FROM sn CROSS JOIN onn GROUP BY i)
     SELECT {he("min(d)", 9)} AS dcr_min, {he("median(d)", 9)} AS dcr_med, {he("quantile_cont(d, 0.05)", 9)} AS dcr_p05 FROM dist""",
 )
 def dcr(spark, d):
-    halves = _halves(spark, d, ("chave_item", "vmle_dolar", "peso_liquido"))
-    original, synthetic = [
-        h.withColumn("v", lenient_double("vmle_dolar")).where(F.col("v").isNotNull()) for h in halves
-    ]
-    out = p.closest_record_distance(original, synthetic, ["v", "peso_liquido"], ["chave_item"])
+    halves = _halves(spark, d, ("vmle_dolar", "peso_liquido"))
+    original, synthetic = [h.withColumn("v", lenient_double("vmle_dolar")) for h in halves]
+    out = p.closest_record_distance(original, synthetic, ["v", "peso_liquido"])
     return out.select(*[half_even(F.col(x), 9).alias(x) for x in ("dcr_min", "dcr_med", "dcr_p05")])
 
 
