@@ -8,7 +8,7 @@ from itertools import combinations
 from operator import and_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portolan.functions.numeric import half_even, hash52, normal_quantile
@@ -18,7 +18,6 @@ from portolan.operators.profile import roles_by_type
 from portolan.operators.quantiles import average_rank, exact_quantiles
 from portolan.session import stored
 
-MAX_CATEGORIES = 500
 RANK_EPS = 1e-6
 
 
@@ -75,19 +74,46 @@ def numeric_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Copula:
-    """Fitted figures, all bounded by the number of columns and max_categories."""
+    """Fitted figures. Those of numbers and dates are bounded by the number of columns; categories are tables of ranges."""
 
     numeric: list[str]
     mean: dict[str, float]
     std: dict[str, float]
     corr: np.ndarray
-    categories: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    categories: dict[str, DataFrame] = field(default_factory=dict)
     dates: dict[str, tuple[int, int]] = field(default_factory=dict)
     rows: int = 0
 
 
-def fit_copula(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> Copula:
-    """Moments and score correlations of numbers, frequencies of categories, range of dates."""
+CATEGORY_PARTS = 1024
+
+
+def category_ranges(counts: DataFrame) -> DataFrame:
+    """(category, low, high, total): the stretch of the numbers from 0 to total - 1 that draws a category.
+
+    counts: (category, n). Categories lie one after another by hash part, then name: a part's start comes from the totals
+    of at most CATEGORY_PARTS parts, and only inside a part is anything ordered.
+    """
+    placed = counts.select("category", "n", (hash52(F.col("category")) % CATEGORY_PARTS).alias("part"))
+    parts = placed.groupBy("part").agg(F.sum("n").alias("in_part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = parts.select(
+        "part",
+        F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("start"),
+        F.sum("in_part").over(everything).alias("total"),
+    )
+    inside = Window.partitionBy("part").orderBy("category").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = placed.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "part")
+    low = F.col("start") + F.col("inside")
+    return ranged.select("category", low.alias("low"), (low + F.col("n")).alias("high"), "total")
+
+
+def fit_copula(df: DataFrame, max_categories: int | None = None) -> Copula:
+    """Moments and score correlations of numbers, frequencies of categories, range of dates.
+
+    All categories are kept unless `max_categories` pools the rare ones, as published with 500.
+    """
     roles = roles_by_type(df)
     numeric = roles["numeric"]
     moments = {r["column"]: r for r in numeric_moments(df, numeric).collect()} if numeric else {}
@@ -97,7 +123,7 @@ def fit_copula(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> Copula:
             i, j = numeric.index(r["col_a"]), numeric.index(r["col_b"])
             corr[i, j] = corr[j, i] = 0.0 if r["corr"] is None else r["corr"]
     categories = {
-        c: [(r["category"], r["share"]) for r in truncated_categories(df, c, max_categories).orderBy("category").collect()]
+        c: stored(category_ranges(truncated_categories(df, c, max_categories)), "copula_categories")
         for c in roles["categorical"]
     }
     dates = {}
@@ -120,39 +146,57 @@ def fit_copula(df: DataFrame, max_categories: int = MAX_CATEGORIES) -> Copula:
 ROWS_PER_TASK = 1_000_000
 
 
+def uniform(seed: int, column: str, row: str = "row_id") -> Column:
+    """A number in (0, 1) that depends on seed, column and row alone, not on partitions or earlier draws."""
+    return (hash52(F.lit(seed), F.lit(column), F.col(row)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def drawn_category(rows: DataFrame, ranges: DataFrame, column: str, seed: int) -> DataFrame:
+    """rows with a category drawn by its share: a range join made equal on buckets of the numbers that are drawn.
+
+    Buckets are about four times as many as categories, so a frequent category has many and a rare one shares its own;
+    the table of ranges grows with the categories, not with the rows.
+    """
+    size = ranges.agg(F.count(F.lit(1)).alias("size"), F.max("total").alias("total")).first()
+    if not size["size"]:
+        return rows.withColumn(column, F.lit(None).cast("string"))
+    width = max(1, size["total"] // (4 * size["size"]))
+    at = F.least(F.floor(uniform(seed, column) * F.lit(float(size["total"]))), F.lit(size["total"] - 1))
+    buckets = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))
+    spread = ranges.select(F.explode(buckets).alias("draw_bucket"), "low", "high", F.col("category").alias(column))
+    drawn = rows.withColumn("draw", at).withColumn("draw_bucket", F.floor(F.col("draw") / width))
+    hit = (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high"))
+    return drawn.join(spread, "draw_bucket").where(hit).drop("draw", "draw_bucket", "low", "high")
+
+
 def sample_copula(spark, copula: Copula, n: int | None = None, seed: int = 42) -> DataFrame:
     """n synthetic rows: correlated normals with the fitted moments, independent categories and dates.
 
-    The number of partitions follows from n alone, so a seed gives the same rows on any cluster.
+    Every number is a hash of (seed, column, row number), so a seed gives the same rows on any cluster and in any other engine.
     """
     n = copula.rows if n is None else n
-    df = spark.range(0, n, 1, max(1, -(-n // ROWS_PER_TASK)))
+    df = spark.range(0, n, 1, max(1, -(-n // ROWS_PER_TASK))).withColumnRenamed("id", "row_id")
     k = len(copula.numeric)
-    df = df.select(*[F.randn(seed + i).alias(f"z{i}") for i in range(k)], *[
-        F.rand(seed + 1000 + i).alias(f"u{i}") for i in range(len(copula.categories) + len(copula.dates))
-    ])
     try:
         lower = np.linalg.cholesky(copula.corr) if k else np.zeros((0, 0))
     except np.linalg.LinAlgError:
         lower = np.eye(k)
-    out: list[Column] = []
+    df = df.withColumns({f"draw_u{i}": uniform(seed, c) for i, c in enumerate(copula.numeric)})
+    df = df.withColumns({f"draw_z{i}": normal_quantile(F.col(f"draw_u{i}")) for i in range(k)})
+    out: dict[str, Column] = {}
     for i, c in enumerate(copula.numeric):
-        z = sum((F.lit(float(lower[i, j])) * F.col(f"z{j}") for j in range(i + 1)), start=F.lit(0.0))
-        out.append((F.lit(copula.mean[c]) + F.lit(copula.std[c]) * z).alias(c))
-    at = 0
-    for c, shares in copula.categories.items():
-        names = F.array(*[F.lit(name) for name, _ in shares])
-        ends = np.cumsum([p for _, p in shares])
-        upper = F.array(*[F.lit(float(e)) for e in ends[:-1]]) if len(ends) > 1 else F.array().cast("array<double>")
-        u = F.col(f"u{at}")
-        out.append(F.element_at(names, F.size(F.filter(upper, lambda e: e <= u)) + 1).alias(c))
-        at += 1
+        z = sum((F.lit(float(lower[i, j])) * F.col(f"draw_z{j}") for j in range(i + 1)), start=F.lit(0.0))
+        out[c] = F.lit(copula.mean[c]) + F.lit(copula.std[c]) * z
     for c, (low, high) in copula.dates.items():
-        out.append(
-            F.timestamp_micros(F.lit(low) + F.floor(F.col(f"u{at}") * F.lit(float(high - low))).cast("long")).alias(c)
-        )
-        at += 1
-    return df.select(*out)
+        if low is None:  # no date to draw from
+            out[c] = F.lit(None).cast("timestamp")
+            continue
+        past = F.floor(uniform(seed, c) * F.lit(float(high - low))).cast("long")
+        out[c] = F.timestamp_micros(F.lit(low) + past)
+    df = df.select("row_id", *[value.alias(c) for c, value in out.items()])
+    for c, ranges in copula.categories.items():
+        df = drawn_category(df, ranges, c, seed)
+    return df.select(*copula.numeric, *copula.categories, *copula.dates)
 
 
 def k_stats(df: DataFrame, quasi: list[str], k: int = 5) -> DataFrame:
@@ -281,7 +325,7 @@ def generate_and_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Synthetic rows and a one-row report on anonymity, closest records and disclosure."""
     copula = fit_copula(original)
-    synthetic = sample_copula(spark, copula, seed=seed)
+    synthetic = stored(sample_copula(spark, copula, seed=seed), "synthetic")
     numeric = [c for c in quasi if c in roles_by_type(original)["numeric"]]
     report = k_anonymity(original, synthetic, quasi, k)
     kept = report.columns

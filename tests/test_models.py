@@ -88,12 +88,42 @@ def test_sampled_correlation(spark):
     assert sample.agg(F.corr("x", "y")).first()[0] == pytest.approx(0.8, abs=0.02)
 
 
-def test_many_categories_are_all_reachable(spark):
-    model = p.Copula([], {}, {}, np.zeros((0, 0)), {"k": [("a", 0.5), ("b", 0.25), ("c", 0.25)]})
+def test_category_shares(spark):
+    counts = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1)], "category string, n long")
+    model = p.Copula([], {}, {}, np.zeros((0, 0)), {"k": p.category_ranges(counts)})
     share = {r["k"]: r["count"] / 8000 for r in p.sample_copula(spark, model, n=8000).groupBy("k").count().collect()}
     assert share["a"] == pytest.approx(0.5, abs=0.03) and share["b"] == pytest.approx(0.25, abs=0.03)
 
 
+def test_ranges_cover_every_category_once(spark):
+    n = {f"c{i}": 1 + (5000 if i == 7 else i % 3) for i in range(3000)}
+    ranges = p.category_ranges(spark.createDataFrame(list(n.items()), "category string, n long")).orderBy("low").collect()
+    assert [r["low"] for r in ranges] == [0] + [r["high"] for r in ranges][:-1]
+    assert {r["category"]: r["high"] - r["low"] for r in ranges} == n
+    assert {r["total"] for r in ranges} == {sum(n.values())} and ranges[-1]["high"] == sum(n.values())
+
+
+def test_synthetic_rows_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "k string, x double, day date")
+    model = p.fit_copula(empty)
+    assert p.sample_copula(spark, model).count() == 0
+    row = p.sample_copula(spark, model, n=2).first()
+    assert row["k"] is None and row["day"] is None
+
+
+def test_rare_categories_are_drawn_and_hot_ones_keep_their_share(spark):
+    """No category is pooled: 3,000 rare ones beside one that holds half of all rows, in rows whatever the partitions."""
+    table = spark.range(6000).selectExpr("CASE WHEN id < 3000 THEN 'hot' ELSE concat('c', id) END AS k", "id % 2 = 0 AS flag")
+    model = p.fit_copula(table)
+    sample = p.sample_copula(spark, model)
+    assert sample.count() == 6000 and sample.columns == ["k", "flag"]
+    counts = {r["k"]: r["count"] for r in sample.groupBy("k").count().collect()}
+    assert counts["hot"] == pytest.approx(3000, abs=200) and len(counts) > 1500 and "__OUTROS__" not in counts
+    few = p.sample_copula(spark, model, n=100)
+    assert few.exceptAll(sample).count() == 0  # row i of a table is the same however many rows follow
+    assert {r[0] for r in p.sample_copula(spark, p.fit_copula(table, 1)).select("k").distinct().collect()} == {"hot", "__OUTROS__"}
+
+
 def test_disclosure_and_distance(spark, table):
     original = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "ncm string")
     synthetic = spark.createDataFrame([("1",), ("2",)], "ncm string")

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from portolan.functions.numeric import half_even, lenient_double
 from portolan.operators import calibration as c
 from portolan.operators import privacy as p
-from portolan.operators.business import truncated_categories
+from portolan.operators.business import MISSING, truncated_categories
 from portolan.plans.views import calibration_points, imports
 from workload.catalog import HASH52, IMPORTS, VALUE, he, query
-from workload.ranking import rank_cte
+from workload.ranking import ppf_sql, rank_cte
 
 _P = "greatest(0.01::DOUBLE, least(1::DOUBLE, value / 200::DOUBLE))"
 POINTS = f"pts AS (SELECT event_id, (event_type IN ('error', 'purchase'))::INTEGER AS y, {_P} AS p FROM events)"
@@ -74,18 +74,22 @@ def _halves(spark, d, columns):
     return [df.where(F.col("l_linestatus") == s).drop("l_linestatus") for s in ("F", "O")]
 
 
-def _k_sql(alias: str, status: str) -> str:
-    return f"""{alias}_g AS (SELECT count(*) AS n FROM imports WHERE l_linestatus = '{status}' GROUP BY pais_origem, uf),
+def _k_sql(alias: str, status: str | None = None, source: str = "imports") -> str:
+    where = f"WHERE l_linestatus = '{status}'" if status else ""
+    return f"""{alias}_g AS (SELECT count(*) AS n FROM {source} {where} GROUP BY pais_origem, uf),
     {alias} AS (SELECT min(n) AS k_min, sum(n * n)::DOUBLE / sum(n)::DOUBLE AS k_medio, coalesce(sum(n) FILTER (n < 5), 0)::BIGINT AS rv,
       count(*) FILTER (n < 5) AS gv, sum(n)::BIGINT AS regs FROM {alias}_g)"""
 
 
+_K_REPORT = f"""o.k_min AS k_min_original, s.k_min AS k_min_sintetico, {he("o.k_medio", 2)} AS k_medio_original, {he("s.k_medio", 2)} AS k_medio_sintetico,
+    o.rv AS registros_violados_original, s.rv AS registros_violados_sintetico, o.gv AS grupos_violados_original, s.gv AS grupos_violados_sintetico,
+    {he("s.rv::DOUBLE / s.regs * 100", 2)} AS registros_descartados_pct, s.k_min >= 5 AS passa_k"""
+
+
 @query(
     "k_anonymity",
     f"""WITH {IMPORTS}, {_k_sql("o", "F")}, {_k_sql("s", "O")}
-    SELECT o.k_min AS k_min_original, s.k_min AS k_min_sintetico, {he("o.k_medio", 2)} AS k_medio_original, {he("s.k_medio", 2)} AS k_medio_sintetico,
-    o.rv AS registros_violados_original, s.rv AS registros_violados_sintetico, o.gv AS grupos_violados_original, s.gv AS grupos_violados_sintetico,
-    {he("s.rv::DOUBLE / s.regs * 100", 2)} AS registros_descartados_pct, s.k_min >= 5 AS passa_k FROM o, s""",
+    SELECT {_K_REPORT} FROM o, s""",
 )
 def k_anonymity(spark, d):
     original, synthetic = _halves(spark, d, QUASI)
@@ -181,11 +185,61 @@ def _typed_imports(spark, d):
     return df.withColumn("vmle_dolar", lenient_double("vmle_dolar"))
 
 
-@query("copula_sample")
+SEED = 42
+
+
+def _uniform_sql(column: str) -> str:
+    return f"""({HASH52.format(f"'{SEED}|{column}|' || id")} + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE"""
+
+
+def _categories_sql(column: str) -> str:
+    """CTE <column>_r(category, low, high, total): the numbers that draw each category."""
+    name, order = f"coalesce({column}, '{MISSING}')", f"ORDER BY {HASH52.format('category')} % 1024, category"
+    return f"""{column}_c AS (SELECT {name} AS category, count(*) AS n FROM imports GROUP BY 1),
+    {column}_r AS (SELECT category, coalesce(sum(n) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low,
+      (sum(n) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS high FROM {column}_c),
+    {column}_d AS (SELECT id, category AS {column} FROM (SELECT id, floor({_uniform_sql(column)} * (SELECT count(*) FROM imports))::BIGINT AS t FROM ids)
+      JOIN {column}_r ON t >= low AND t < high)"""
+
+
+IDS = "ids AS (SELECT range AS id FROM range((SELECT count(*) FROM imports)))"
+_PAIR = ("vmle_dolar", "peso_liquido")
+
+
+def _normals_sql() -> str:
+    return ", ".join(
+        f"u{i} AS (SELECT id, {_uniform_sql(x)} AS u FROM ids), g{i} AS (SELECT id, {ppf_sql('u')} AS z FROM u{i})" for i, x in enumerate(_PAIR)
+    )
+
+
+@query(
+    "copula_sample",
+    f"""WITH {IMPORTS}, typed AS (SELECT {VALUE} AS v, peso_liquido AS w FROM imports),
+    {rank_cte("zv", "typed", "v")}, {rank_cte("zw", "typed", "w")},
+    r AS (SELECT corr(zv.z, zw.z) AS r FROM typed JOIN zv ON v = zv.value JOIN zw ON w = zw.value),
+    m AS (SELECT avg(v) AS mv, stddev_samp(v) AS dv, avg(w) AS mw, stddev_samp(w) AS dw FROM typed),
+    {IDS}, {_normals_sql()}, {", ".join(_categories_sql(x) for x in ("ncm", "pais_origem", "uf"))},
+    span AS (SELECT epoch_us(min(data_importacao)::TIMESTAMP) AS low, epoch_us(max(data_importacao)::TIMESTAMP) AS high FROM imports)
+    SELECT {he("mv + dv * g0.z", 1)} AS vmle_dolar, {he("mw + dw * (r * g0.z + sqrt(1 - r * r) * g1.z)", 3)} AS peso_liquido, ncm, pais_origem, uf,
+      make_timestamp(low + floor({_uniform_sql("data_importacao").replace("|| id", "|| g0.id")} * (high - low)::DOUBLE)::BIGINT)::DATE AS data_importacao
+    FROM g0 JOIN g1 ON g0.id = g1.id JOIN ncm_d ON g0.id = ncm_d.id JOIN pais_origem_d ON g0.id = pais_origem_d.id JOIN uf_d ON g0.id = uf_d.id, m, r, span""",
+)
 def copula_sample(spark, d):
-    return p.sample_copula(spark, p.fit_copula(_typed_imports(spark, d)))
+    out = p.sample_copula(spark, p.fit_copula(_typed_imports(spark, d)), seed=SEED)
+    rounded = {"vmle_dolar": half_even(F.col("vmle_dolar"), 1), "peso_liquido": half_even(F.col("peso_liquido"), 3)}
+    return out.withColumns({**rounded, "data_importacao": F.to_date("data_importacao")})
 
 
-@query("generate_and_validate")
+@query(
+    "generate_and_validate",
+    f"""WITH {IMPORTS}, {IDS}, {_categories_sql("pais_origem")}, {_categories_sql("uf")},
+    synthetic AS (SELECT pais_origem, uf FROM pais_origem_d JOIN uf_d USING (id)),
+    {_k_sql("o")}, {_k_sql("s", source="synthetic")},
+    single AS (SELECT pais_origem, uf, count(*) AS n FROM imports GROUP BY ALL),
+    rate AS (SELECT sum((coalesce(n, 0) = 1)::INTEGER)::DOUBLE / count(*) * 100 AS pct FROM synthetic t
+      LEFT JOIN single g ON t.pais_origem IS NOT DISTINCT FROM g.pais_origem AND t.uf IS NOT DISTINCT FROM g.uf)
+    SELECT {_K_REPORT}, NULL::DOUBLE AS dcr_min, NULL::DOUBLE AS dcr_med, NULL::DOUBLE AS dcr_p05, {he("pct", 3)} AS taxa_divulgacao_pct,
+      (SELECT count(*) FROM imports) AS n_original, (SELECT count(*) FROM imports) AS n_sintetico FROM o, s, rate""",
+)
 def generate(spark, d):
-    return p.generate_and_validate(spark, _typed_imports(spark, d), list(QUASI))[1]
+    return p.generate_and_validate(spark, _typed_imports(spark, d), list(QUASI), seed=SEED)[1]
