@@ -47,6 +47,7 @@ class ImportColumns:
     status: str = "ext_situacao"
     age: str = "ext_idade"
     credit: str = "ext_score_credito"
+    capital: str = "ext_capital"
     text: tuple[str, ...] = field(default=("descricao",))
 
     def with_names(self, **names: str) -> "ImportColumns":

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portolan.functions.numeric import lenient_double
+from portolan.functions.numeric import half_even, lenient_double
 from portolan.operators.quantiles import exact_quantiles, quantiles
 from portolan.session import stored
 
@@ -40,6 +40,8 @@ def outliers_iqr(df: DataFrame, column: str, by: str | None = None, method: str
 NEIGHBOURS = 20
 CONTAMINATION = 0.1
 DAMPING = 0.3
+# Factors meet the limit to this many decimals, so that equal ones stay equal in whatever order their parts were summed.
+FACTOR_DIGITS = 9
 MIN_ROWS = 10
 # Sizes of tasks, without influence on results: points of a cell, points that visit a cell at once, distances held, points that
 # the cuts are taken from (about) and those that a cell keeps of them at least.
@@ -81,9 +83,14 @@ def lof_scores_of_block(points: np.ndarray, copies: np.ndarray, k: int = NEIGHBO
     if copies.sum() < MIN_ROWS:
         return np.zeros(len(points))
     factor = lof_of_points(points, copies, k)
+    compared = -np.rint(factor * 10.0**FACTOR_DIGITS) / 10.0**FACTOR_DIGITS
     scaled = (factor - factor.min()) / (factor.max() - factor.min() + 1e-9)
-    limit = np.percentile(np.repeat(-factor, copies), 100 * CONTAMINATION)
-    return np.where(-factor < limit, scaled, scaled * DAMPING)
+    ranked = np.sort(np.repeat(compared, copies))
+    # A tenth of 70 is 7, not 7 and an ulp: the row that lies on the limit itself is not flagged.
+    place = round(CONTAMINATION * (len(ranked) - 1), 9)
+    low = int(place)
+    limit = ranked[low] + (ranked[min(low + 1, len(ranked) - 1)] - ranked[low]) * (place - low)
+    return np.where(compared < limit, scaled, scaled * DAMPING)
 
 
 def nearest(owner: np.ndarray, squared: np.ndarray, near: np.ndarray, rows: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,31 +339,36 @@ def _lof_factors(points: DataFrame, names: list[str], cell_points: int) -> DataF
 def _lof_of_large(points: DataFrame, names: list[str], cell_points: int) -> DataFrame:
     """lof_scores_of_block() over scopes of any size: (lof_scope, names..., lof_score)."""
     factors = _lof_factors(points, names, cell_points)
-    limit = exact_quantiles(factors, -F.col("factor"), {"limit": CONTAMINATION}, ["lof_scope"], F.col("copies"))
+    compared = -half_even(F.col("factor"), FACTOR_DIGITS)
+    limit = exact_quantiles(factors, compared, {"limit": CONTAMINATION}, ["lof_scope"], F.col("copies"))
     ends = factors.groupBy("lof_scope").agg(F.min("factor").alias("least"), F.max("factor").alias("most"))
     scaled = (F.col("factor") - F.col("least")) / (F.col("most") - F.col("least") + 1e-9)
-    score = F.when(-F.col("factor") < F.col("limit"), scaled).otherwise(scaled * DAMPING)
+    score = F.when(compared < F.col("limit"), scaled).otherwise(scaled * DAMPING)
     return factors.join(limit, "lof_scope").join(ends, "lof_scope").select("lof_scope", *names, score.alias("lof_score"))
 
 
+def _scope_key(columns: list[str]) -> Column:
+    return F.concat_ws("\x1f", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
 def lof_scores(
     df: DataFrame,
     columns: list[str],
     out: str = "KPI_Outlier",
-    scope: str | None = None,
+    scope: str | list[str] | None = None,
     k: int = NEIGHBOURS,
     block_points: int = BLOCK_POINTS,
 ) -> DataFrame:
     """Adds the outlier score over numeric columns; NULLs count as 0.
 
-    Neighbours, scale and share flagged are those of the whole table (or `scope` value). Equal rows are one point with
+    Neighbours, scale and share flagged are those of the whole table (or of each value of the `scope` columns). Equal rows are one point with
     a number of copies. A scope of at most `block_points` distinct points is one task; a larger one is cut into cells of
     at most that size, and a point meets the cells within its k-distance: the size changes no result.
     """
     names = [f"lof_{i}" for i in range(len(columns))]
     keyed = df.withColumns(
         {n: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) + F.lit(0.0) for n, c in zip(names, columns)}
-    ).withColumn("lof_scope", F.lit("") if scope is None else F.coalesce(F.col(scope).cast("string"), F.lit("")))
+    ).withColumn("lof_scope", _scope_key([] if scope is None else [scope] if isinstance(scope, str) else scope))
     keyed = stored(keyed, "lof_rows")  # what comes before is computed once, not again for the result
     points = keyed.groupBy("lof_scope", *names).agg(F.count(F.lit(1)).alias("copies"))
     points = stored(points, "lof_points")

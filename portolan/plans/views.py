@@ -117,7 +117,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports with the registry columns the KPIs use."""
-    reg = registry(spark, sf_dir).select("cnpj", "ext_situacao", "ext_idade", "ext_score_credito")
+    reg = registry(spark, sf_dir).select("cnpj", "ext_situacao", "ext_idade", "ext_score_credito", "ext_capital")
     return imports(spark, sf_dir).join(reg, "cnpj", "left")
 
 

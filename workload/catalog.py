@@ -110,7 +110,7 @@ REGISTRY = f"""registry_base AS (
 )"""
 
 ENRICHED = f"""{IMPORTS}, {REGISTRY}, enriched AS (
-  SELECT i.* EXCLUDE (l_linestatus), r.ext_situacao, r.ext_idade, r.ext_score_credito
+  SELECT i.* EXCLUDE (l_linestatus), r.ext_situacao, r.ext_idade, r.ext_score_credito, r.ext_capital
   FROM imports i LEFT JOIN registry r ON i.cnpj = r.cnpj
 )"""
 
@@ -152,7 +152,7 @@ pattern AS (
   SELECT blob, {he("least((SELECT count(*) FROM top_grams WHERE contains(blob, gram))::DOUBLE / 10::DOUBLE, 1)", 4)} AS hit
   FROM blobs
 ),
-kpi_rows AS (
+kpi_rows AS MATERIALIZED (
   SELECT e.*,
     {clip01(f"(med - {VK}) / CASE WHEN med <> 0 THEN med ELSE 1 END")} AS KPI_Subvalorizacao,
     {clip01(f"(CASE WHEN {DIGITS} LIKE '%0' THEN 1 ELSE 0 END)::DOUBLE / nullif(length({DIGITS}), 0)")} AS KPI_DisparidadeHS,
@@ -162,7 +162,8 @@ kpi_rows AS (
     CASE WHEN coalesce(lower(ext_situacao) LIKE '%ativa%', false) THEN 0::DOUBLE ELSE 1::DOUBLE END AS KPI_Ext_ConsistenciaCadastral,
     {clip01("1 - ext_idade / 10::DOUBLE", "0.5")} AS KPI_Ext_IdadeEmpresa,
     coalesce(1 - ext_score_credito, 0.5::DOUBLE) AS KPI_Ext_ScoreCredito,
-    hit AS KPI_PadraoChar
+    hit AS KPI_PadraoChar,
+    coalesce({VK}, 0) AS FE_ValorPorKg
   FROM enriched e CROSS JOIN stats
   JOIN imp ON e.importador = imp.imp_name
   JOIN pattern ON {blob_sql("e.descricao")} = pattern.blob
@@ -180,8 +181,40 @@ COLOUR = """CASE RiskLevel WHEN 'BAIXO' THEN '#C6EFCE' WHEN 'MEDIO' THEN '#FFEB9
   WHEN 'ALTO' THEN '#FFC7CE' WHEN 'CRITICO' THEN '#C00000' ELSE '#FFFFFF' END"""
 
 
+def lof_sql(source: str, key: str, scope: tuple[str, ...], columns: list[str]) -> str:
+    """CTE chain ending in outlying(id, KPI_Outlier): the factor of every row from all pairs of its scope, 20 neighbours."""
+    xs = [f"x{i}" for i in range(len(columns))]
+    squared = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in xs)
+    return f"""lof_pts AS MATERIALIZED (
+  SELECT {key} AS id, concat_ws(chr(31), {", ".join(scope)}) AS g, {", ".join(f"coalesce({c}, 0)::DOUBLE AS {x}" for c, x in zip(columns, xs))} FROM {source}
+), lof_sizes AS (SELECT g, count(*) AS n FROM lof_pts GROUP BY g
+), lof_pairs AS (
+  SELECT a.g, a.id, b.id AS nb, {", ".join(f"b.{x}" for x in xs)}, {squared} AS d2 FROM lof_pts a JOIN lof_pts b ON a.g = b.g AND a.id <> b.id
+), lof_ranked AS (SELECT g, id, nb, d2, row_number() OVER (PARTITION BY id ORDER BY d2, {", ".join(xs)}, nb) AS rn FROM lof_pairs
+), lof_near AS MATERIALIZED (SELECT g, id, nb, sqrt(d2) AS dist FROM lof_ranked JOIN lof_sizes USING (g) WHERE rn <= least(20, n - 1)
+), lof_reach AS (SELECT id, max(dist) AS reach FROM lof_near GROUP BY id
+), lof_dense AS MATERIALIZED (
+  SELECT near.id, 1::DOUBLE / (avg(greatest(dist, reach)) + 1e-10::DOUBLE) AS density FROM lof_near near JOIN lof_reach r ON near.nb = r.id GROUP BY near.id
+), lof_factor AS MATERIALIZED (
+  SELECT near.g, near.id, avg(o.density) / m.density AS f
+  FROM lof_near near JOIN lof_dense o ON near.nb = o.id JOIN lof_dense m ON near.id = m.id GROUP BY near.g, near.id, m.density
+), lof_sorted AS (SELECT g, min(f) AS lo, max(f) AS hi, list_sort(list(-{he("f", 9)})) AS l, count(*) - 1 AS n FROM lof_factor GROUP BY g
+), lof_limits AS (SELECT g, lo, hi, l[n // 10 + 1] + (l[least(n // 10 + 2, n + 1)] - l[n // 10 + 1]) * (n % 10) / 10::DOUBLE AS cut FROM lof_sorted
+), lof_scaled AS (SELECT id, (f - lo) / (hi - lo + 1e-9::DOUBLE) AS s, -{he("f", 9)} < cut AS flagged FROM lof_factor JOIN lof_limits USING (g)
+), outlying AS (
+  SELECT p.id, CASE WHEN n < 10 THEN 0::DOUBLE WHEN flagged THEN s ELSE s * 0.3::DOUBLE END AS KPI_Outlier
+  FROM lof_pts p JOIN lof_sizes USING (g) LEFT JOIN lof_scaled z ON p.id = z.id
+)"""
+
+
+OUTLIER_SCOPE = ("pais_origem", "uf")
+
+
 def risk_rows(weights: dict[str, float], kpis: tuple[str, ...]) -> str:
-    return f"""{KPI_ROWS}, scored AS (SELECT *, {risk_sql(weights, kpis)} AS RiskScore FROM kpi_rows),
+    derived = [he(c, 6) for c in sorted((*(c for c in kpis if c != "KPI_Outlier"), "FE_ValorPorKg"))]
+    return f"""{KPI_ROWS}, {lof_sql("kpi_rows", "chave_item", OUTLIER_SCOPE, [VALUE, "peso_liquido", "ext_capital", *derived])},
+whole AS (SELECT k.*, KPI_Outlier FROM kpi_rows k JOIN outlying ON chave_item = id),
+scored AS (SELECT *, {risk_sql(weights, kpis)} AS RiskScore FROM whole),
 leveled AS (SELECT *, {LEVEL} AS RiskLevel FROM scored),
 risk AS (SELECT *, {COLOUR} AS RiskColor FROM leveled)"""
 

@@ -9,17 +9,17 @@ from portolan.operators.business import business_kpis
 from portolan.operators.topk import top_risk
 from portolan.plans.risk import scored_imports
 from portolan.plans.views import IMPORT_COLUMNS, enriched_imports, imports
-from workload.catalog import DAYS, DIGITS, ENRICHED, IMPORTS, INPUT_COLUMNS, NULL_COUNT, VALUE, VK, clip01, he, query, risk_rows
+from workload.catalog import DAYS, DIGITS, ENRICHED, IMPORTS, INPUT_COLUMNS, NULL_COUNT, OUTLIER_SCOPE, VALUE, VK, clip01, he, query, risk_rows
 
-KPIS_9 = (
-    "KPI_Subvalorizacao", "KPI_DisparidadeHS", "KPI_SurgeVolume", "KPI_DesvioETA", "KPI_Completude",
+KPIS_10 = (
+    "KPI_Subvalorizacao", "KPI_DisparidadeHS", "KPI_SurgeVolume", "KPI_DesvioETA", "KPI_Completude", "KPI_Outlier",
     "KPI_Ext_ConsistenciaCadastral", "KPI_Ext_IdadeEmpresa", "KPI_Ext_ScoreCredito", "KPI_PadraoChar",
 )
-KPIS_8 = tuple(c for c in KPIS_9 if c in WEIGHTS_8)
+KPIS_8 = tuple(c for c in KPIS_10 if c in WEIGHTS_8)
 
 
 def _risk(spark, d):
-    return scored_imports(enriched_imports(spark, d), input_columns=list(IMPORT_COLUMNS))
+    return scored_imports(enriched_imports(spark, d), input_columns=list(IMPORT_COLUMNS), outlier_scope=list(OUTLIER_SCOPE))
 
 
 @query(
@@ -41,12 +41,12 @@ def business(spark, d):
 
 @query(
     "risk_score_10",
-    f"""WITH {risk_rows(WEIGHTS_10, KPIS_9)}
-    SELECT chave_item, {", ".join(f"{he(c, 6)} AS {c}" for c in KPIS_9)}, RiskScore, RiskLevel, RiskColor FROM risk""",
+    f"""WITH {risk_rows(WEIGHTS_10, KPIS_10)}
+    SELECT chave_item, {", ".join(f"{he(c, 6)} AS {c}" for c in KPIS_10)}, RiskScore, RiskLevel, RiskColor FROM risk""",
 )
 def risk_10(spark, d):
     return _risk(spark, d).select(
-        "chave_item", *[half_even(F.col(c), 6).alias(c) for c in KPIS_9], "RiskScore", "RiskLevel", "RiskColor"
+        "chave_item", *[half_even(F.col(c), 6).alias(c) for c in KPIS_10], "RiskScore", "RiskLevel", "RiskColor"
     )
 
 
@@ -55,19 +55,25 @@ def risk_10(spark, d):
     f"WITH {risk_rows(WEIGHTS_8, KPIS_8)} SELECT chave_item, RiskScore, RiskLevel, RiskColor FROM risk",
 )
 def risk_8(spark, d):
-    df = scored_imports(enriched_imports(spark, d), weights=WEIGHTS_8, input_columns=list(IMPORT_COLUMNS), patterns=False)
+    df = scored_imports(
+        enriched_imports(spark, d),
+        weights=WEIGHTS_8,
+        input_columns=list(IMPORT_COLUMNS),
+        patterns=False,
+        outlier_scope=list(OUTLIER_SCOPE),
+    )
     return df.select("chave_item", "RiskScore", "RiskLevel", "RiskColor")
 
 
 @query("risk_with_outliers")
 def risk_outliers(spark, d):
-    df = scored_imports(enriched_imports(spark, d), input_columns=list(IMPORT_COLUMNS), outliers=True)
+    df = scored_imports(enriched_imports(spark, d), input_columns=list(IMPORT_COLUMNS))
     return df.select("chave_item", "KPI_Outlier", "RiskScore", "RiskLevel", "RiskColor")
 
 
 @query(
     "risk_levels",
-    f"WITH {risk_rows(WEIGHTS_10, KPIS_9)} SELECT RiskLevel, count(*) AS n FROM risk GROUP BY RiskLevel",
+    f"WITH {risk_rows(WEIGHTS_10, KPIS_10)} SELECT RiskLevel, count(*) AS n FROM risk GROUP BY RiskLevel",
 )
 def levels(spark, d):
     return k.level_counts(_risk(spark, d))
@@ -75,7 +81,7 @@ def levels(spark, d):
 
 @query(
     "top_risk_rows",
-    f"""WITH {risk_rows(WEIGHTS_10, KPIS_9)}
+    f"""WITH {risk_rows(WEIGHTS_10, KPIS_10)}
     SELECT chave_item, cnpj, RiskScore, RiskLevel, RiskColor FROM risk ORDER BY RiskScore DESC, chave_item LIMIT 5000""",
 )
 def top_rows(spark, d):
@@ -85,8 +91,8 @@ def top_rows(spark, d):
 
 @query(
     "top10_kpi_means",
-    f"""WITH {risk_rows(WEIGHTS_10, KPIS_9)}
-    SELECT {", ".join(f"{he(f'avg({c})', 4)} AS {c}" for c in (*KPIS_9, "RiskScore"))}
+    f"""WITH {risk_rows(WEIGHTS_10, KPIS_10)}
+    SELECT {", ".join(f"{he(f'avg({c})', 4)} AS {c}" for c in (*KPIS_10, "RiskScore"))}
     FROM (SELECT * FROM risk ORDER BY RiskScore DESC, chave_item LIMIT 10)""",
 )
 def top10(spark, d):
