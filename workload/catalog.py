@@ -153,7 +153,7 @@ pattern AS (
   FROM blobs
 ),
 kpi_rows AS MATERIALIZED (
-  SELECT e.*,
+  SELECT e.*, row_number() OVER () AS lin,
     {clip01(f"(med - {VK}) / CASE WHEN med <> 0 THEN med ELSE 1 END")} AS KPI_Subvalorizacao,
     {clip01(f"(CASE WHEN {DIGITS} LIKE '%0' THEN 1 ELSE 0 END)::DOUBLE / nullif(length({DIGITS}), 0)")} AS KPI_DisparidadeHS,
     {clip01(f"({VALUE} - m) / (nullif(s, 0) * 3::DOUBLE)")} AS KPI_SurgeVolume,
@@ -212,8 +212,8 @@ OUTLIER_SCOPE = ("pais_origem", "uf")
 
 def risk_rows(weights: dict[str, float], kpis: tuple[str, ...]) -> str:
     derived = [he(c, 6) for c in sorted((*(c for c in kpis if c != "KPI_Outlier"), "FE_ValorPorKg"))]
-    return f"""{KPI_ROWS}, {lof_sql("kpi_rows", "chave_item", OUTLIER_SCOPE, [VALUE, "peso_liquido", "ext_capital", *derived])},
-whole AS (SELECT k.*, KPI_Outlier FROM kpi_rows k JOIN outlying ON chave_item = id),
+    return f"""{KPI_ROWS}, {lof_sql("kpi_rows", "lin", OUTLIER_SCOPE, [VALUE, "peso_liquido", "ext_capital", *derived])},
+whole AS (SELECT k.*, KPI_Outlier FROM kpi_rows k JOIN outlying ON lin = id),
 scored AS (SELECT *, {risk_sql(weights, kpis)} AS RiskScore FROM whole),
 leveled AS (SELECT *, {LEVEL} AS RiskLevel FROM scored),
 risk AS (SELECT *, {COLOUR} AS RiskColor FROM leveled)"""
