@@ -43,27 +43,120 @@ def reliability(spark, d):
     return out.select(*[half_even(F.col(x), 9).alias(x) for x in ("bin_center", "accuracy", "confidence")], "count")
 
 
+# Twins of the fits: Newton steps over weighted points as a recursion, one row for each step.
+STEPS = 30
+_SAFE = "greatest(1e-9::DOUBLE, least((1 - 1e-9)::DOUBLE, p::DOUBLE))"
+_Q = "(1 / (1 + exp(-({})))::DOUBLE)"
+
+
+def _newton_sql(name: str, points: str, features: list[str], by: str = "0") -> str:
+    """CTE `name`(fold, it, a0, ...): Newton steps from zero; the equations are solved by Cramer's rule."""
+    k = len(features)
+    at = [f"a{i}" for i in range(k)]
+    q = _Q.format(" + ".join(f"{a} * ({f})" for a, f in zip(at, features, strict=True)))
+    sums = [f"sum(w * (q - y) * ({f})) AS g{i}" for i, f in enumerate(features)]
+    sums += [f"sum(w * q * (1 - q) * ({features[i]}) * ({features[j]})) AS h{i}{j}" for i in range(k) for j in range(i, k)]
+    cell = [[f"h{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " + ".join(
+            f"{'-' if j % 2 else ''}{m[0][j]} * {det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))
+        ) + ")"
+
+    moved = [
+        f"a{i} - {det([[f'g{r}' if c == i else cell[r][c] for c in range(k)] for r in range(k)])} / {det(cell)} AS a{i}" for i in range(k)
+    ]
+    start = ", ".join(f"0::DOUBLE AS {a}" for a in at)
+    return f"""{name} AS (SELECT DISTINCT ({by})::BIGINT AS fold, 0 AS it, {start} FROM {points}
+  UNION ALL SELECT fold, it + 1 AS it, {", ".join(moved)} FROM (
+    SELECT fold, it, {", ".join(at)}, {", ".join(sums)} FROM (
+      SELECT n.*, t.p, t.y, t.w, {q} AS q FROM {name} n JOIN {points} t ON ({by})::BIGINT = n.fold WHERE n.it < {STEPS})
+    GROUP BY fold, it, {", ".join(at)}))"""
+
+
+_WEIGHTED = "w AS (SELECT p, y::DOUBLE AS y, count(*)::DOUBLE AS w FROM pts GROUP BY p, y)"
+_LOGS = [f"ln({_SAFE})", f"ln(1 - {_SAFE})", "1"]
+_LOGIT = f"ln({_SAFE} / (1 - {_SAFE}))"
+# The lower convex hull of (rows, positives) summed in order of p: from each vertex the flattest way on.
+_HULL = """cum AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(sum(w)) OVER (ORDER BY p) AS n, sum(sum(w * y)) OVER (ORDER BY p) AS s FROM w GROUP BY p),
+hull AS (SELECT 0::BIGINT AS i, 0::DOUBLE AS n, 0::DOUBLE AS s, 0::BIGINT AS first, 0::DOUBLE AS slope
+  UNION ALL SELECT * FROM (SELECT c.i, c.n, c.s, h.i + 1 AS first, (c.s - h.s) / (c.n - h.n) AS slope
+    FROM hull h JOIN cum c ON c.i > h.i ORDER BY slope, c.i DESC LIMIT 1))"""
+_FITS = {
+    "platt": _newton_sql("platt", "w", ["p", "1"]),
+    "isotonic": _HULL,
+    "beta": _newton_sql("beta", "w", _LOGS),
+    "temperature": _newton_sql("temp", "w", [_LOGIT]),
+}
+_LAST = f"(SELECT * FROM {{}} WHERE it = {STEPS})"
+# (p, p_cal) of each method over the distinct probabilities.
+_MAPS = {
+    "platt": f"SELECT p, {_Q.format('a0 * p + a1')} AS p_cal FROM (SELECT DISTINCT p FROM w), {_LAST.format('platt')}",
+    "isotonic": "SELECT p, slope AS p_cal FROM cum c JOIN hull h ON c.i BETWEEN h.first AND h.i AND h.i > 0",
+    "beta": f"SELECT p, {_Q.format(' + '.join(f'a{i} * {f}' for i, f in enumerate(_LOGS)))} AS p_cal FROM (SELECT DISTINCT p FROM w), {_LAST.format('beta')}",
+    "temperature": f"SELECT p, {_Q.format(f'a0 * {_LOGIT}')} AS p_cal FROM (SELECT DISTINCT p FROM w), {_LAST.format('temp')}",
+}
+
+
 def _calibrated(method):
     def run(spark, d):
         points = calibration_points(spark, d)
-        return c.FITTERS[method](points).apply(points, "p", "p_cal").select("event_id", "y", "p", "p_cal")
+        out = c.FITTERS[method](points).apply(points, "p", "p_cal")
+        return out.select("event_id", "y", "p", half_even(F.col("p_cal"), 9).alias("p_cal"))
 
     return run
 
 
 for _method in c.METHODS:
-    query(_method)(_calibrated(_method))
+    query(
+        _method,
+        f"""WITH RECURSIVE {POINTS}, {_WEIGHTED}, {_FITS[_method]}, m AS ({_MAPS[_method]})
+        SELECT event_id, y, pts.p, {he("p_cal", 9)} AS p_cal FROM pts JOIN m ON pts.p = m.p""",
+    )(_calibrated(_method))
+
+_BIN_CAL = _BIN.replace("WHEN p >=", "WHEN p_cal >=").replace("AND p <", "AND p_cal <")
+_TRIED = " UNION ALL ".join(
+    f"SELECT {i} AS i, '{m}' AS method, w.y, w.w, p_cal FROM w JOIN ({_MAPS[m]}) m ON w.p = m.p" for i, m in enumerate(c.METHODS)
+)
 
 
-@query("auto_calibrate")
+def _errors_sql(source: str) -> str:
+    return f"""SELECT i, method, sum(e) / sum(n) AS brier, sum(gap) FILTER (b IS NOT NULL) / sum(n) AS ece, max(gap / n) FILTER (b IS NOT NULL) AS mce
+    FROM (SELECT i, method, {_BIN_CAL} AS b, sum(w) AS n, abs(sum(w * y) - sum(w * p_cal)) AS gap, sum(w * (p_cal - y) * (p_cal - y)) AS e
+      FROM {source} GROUP BY 1, 2, 3) GROUP BY i, method"""
+
+
+@query(
+    "auto_calibrate",
+    f"""WITH RECURSIVE {POINTS}, {_WEIGHTED}, {", ".join(_FITS.values())}, tried AS ({_TRIED}), errs AS ({_errors_sql("tried")}),
+    was AS ({_errors_sql("(SELECT 0 AS i, '' AS method, y, w, p AS p_cal FROM w)")}),
+    best AS (SELECT * FROM errs ORDER BY round(ece, 12), i LIMIT 1)
+    SELECT best.method, {", ".join(f"{he(f'was.{x}', 9)} AS {x}_before, {he(f'best.{x}', 9)} AS {x}_after" for x in ("brier", "ece", "mce"))},
+    CASE WHEN best.method = 'temperature' THEN {he(f"(SELECT 1 / a0 FROM {_LAST.format('temp')})", 9)} ELSE 1 END::DOUBLE AS temperature FROM best, was""",
+)
 def auto(spark, d):
-    return c.fit_auto(calibration_points(spark, d)).report
+    report = c.fit_auto(calibration_points(spark, d)).report
+    return report.select("method", *[half_even(F.col(x), 9).alias(x) for x in report.columns if x != "method"])
+
+
+_SIDES = """ends AS (SELECT f.fold, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM pts, (SELECT DISTINCT event_id % 3 AS fold FROM pts) f
+  WHERE event_id % 3 <> f.fold GROUP BY f.fold),
+target AS (SELECT fold, p, CASE WHEN y = 1 THEN (pos + 1) / (pos + 2) ELSE 1 / (neg + 2) END::DOUBLE AS t, count(*) AS n
+  FROM pts JOIN ends ON event_id % 3 <> fold GROUP BY ALL),
+w AS (SELECT fold AS held, p, 1::DOUBLE AS y, t * n AS w FROM target UNION ALL SELECT fold, p, 0::DOUBLE, (1 - t) * n FROM target)"""
 
 
-@query("cross_fitted_sigmoid")
+@query(
+    "cross_fitted_sigmoid",
+    f"""WITH RECURSIVE {POINTS}, {_SIDES}, {_newton_sql("fits", "w", ["p", "1"], "held")}
+    SELECT event_id, event_id % 3 AS fold, y, p, {he(_Q.format("a0 * p + a1"), 9)} AS p_cal FROM pts JOIN {_LAST.format("fits")} f ON event_id % 3 = f.fold""",
+)
 def cross_fitted(spark, d):
     points = calibration_points(spark, d).withColumn("fold", F.col("event_id") % 3)
-    return c.cross_fitted_sigmoid(points).select("event_id", "fold", "y", "p", "p_cal")
+    out = c.cross_fitted_sigmoid(points)
+    return out.select("event_id", "fold", "y", "p", half_even(F.col("p_cal"), 9).alias("p_cal"))
 
 
 QUASI = ("pais_origem", "uf")
