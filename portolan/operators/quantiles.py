@@ -3,6 +3,9 @@
 Values are first counted (so a value held by a third of the rows is one row), then cut into
 buckets of about equally many distinct values. Bucket totals (a table of at most `buckets` rows
 per group) give each bucket its offset, and only inside a bucket is anything ordered.
+
+Quantiles of a whole table take two passes instead: a sketch brackets each one, then a scan counts what
+lies between the brackets and shuffles only the values inside them.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from portolan.functions.numeric import bind
 BUCKETS = 1024
 STRIDE = 32
 SKETCH_ACCURACY = 10_000
+# Brackets reach three times the sketch's rank error to each side; tables in which that is fewer ranks than LEAST keep all values.
+SLACK = 3 / SKETCH_ACCURACY
+LEAST = 4
 
 
 def value_counts(
@@ -87,12 +93,70 @@ def _at(position: Column) -> Column:
     return F.max(F.when((F.col("before") <= position) & (position < F.col("before") + F.col("n")), F.col("value")))
 
 
+def _brackets(values: DataFrame, shares: list[float]) -> Column:
+    """One struct for the table: `lo` and `hi`, an entry for each share, and `open` where every value is to be kept."""
+    ends = [max(0.0, q - SLACK) for q in shares] + [min(1.0, q + SLACK) for q in shares]
+    cuts = F.percentile_approx("value", F.array(*[F.lit(x) for x in ends]), SKETCH_ACCURACY)
+    k = len(shares)
+    return (
+        values.agg(cuts.alias("cuts"), F.count(F.lit(1)).alias("rows"))
+        .select(
+            F.struct(
+                F.slice("cuts", 1, k).alias("lo"),
+                F.slice("cuts", k + 1, k).alias("hi"),
+                (F.col("rows") * SLACK < LEAST).alias("open"),
+            ).alias("b")
+        )
+        .scalar()
+    )
+
+
+def _inside(value: Column, i: int) -> Column:
+    return (value >= F.col("b.lo")[i]) & (value <= F.col("b.hi")[i])
+
+
+def selected_values(values: DataFrame, brackets: Column, n: int) -> DataFrame:
+    """(value, copies): the values inside one of n brackets, and one row for all between two of them, with their largest."""
+    kept, gap = F.col("b.open"), F.lit(0)
+    for i in range(n):
+        kept = kept | _inside(F.col("value"), i)
+        gap = gap + F.when(F.col("value") > F.col("b.hi")[i], 1).otherwise(0)
+    placed = values.withColumn("b", brackets).select("value", kept.alias("kept"), gap.alias("gap"))
+    return (
+        placed.groupBy(F.when(~F.col("kept"), F.col("gap")).alias("gap"), F.when(F.col("kept"), F.col("value")).alias("inside"))
+        .agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("copies"))
+        .select("value", "copies")
+    )
+
+
+def whole_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """exact_quantiles() of all rows by selection: of the values, only those inside a bracket are shuffled and ordered.
+
+    An answer outside its bracket cannot come from a sketch that keeps its bound; it raises.
+    """
+    names = sorted(quantiles, key=quantiles.get)
+    values = df.select(value.alias("value")).where(F.col("value").isNotNull())
+    brackets = _brackets(values, [float(quantiles[n]) for n in names])
+    counted = selected_values(values, brackets, len(names))
+    found = _interpolated(value_ranks(counted, F.col("value"), rows=F.col("copies")), quantiles, [])
+    sure = found.withColumn("b", brackets)
+    for i, name in enumerate(names):
+        at = F.col(name)
+        fits = F.col("b.open") | at.isNull() | _inside(at, i)
+        sure = sure.withColumn(name, F.when(fits, at).otherwise(F.raise_error(F.lit(f"{name} lies outside its bracket"))))
+    return sure.select(*quantiles)
+
+
 def exact_quantiles(
     df: DataFrame, value: Column, quantiles: dict[str, float], by: list[str] | None = None, rows: Column | None = None
 ) -> DataFrame:
     """One row (per group) with the linearly interpolated quantiles named in `quantiles`."""
-    by = by or []
-    ranks = value_ranks(df, value, by, rows=rows)
+    if not by and rows is None:
+        return whole_quantiles(df, value, quantiles)
+    return _interpolated(value_ranks(df, value, by, rows=rows), quantiles, by or [])
+
+
+def _interpolated(ranks: DataFrame, quantiles: dict[str, float], by: list[str]) -> DataFrame:
     parts = []
     for name, q in quantiles.items():
         place = F.lit(float(q)) * (F.col("total") - 1)
