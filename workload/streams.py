@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from portolan.functions.numeric import half_even
 from portolan.functions.text import word_tokens
 from portolan.operators import attribution as a
+from portolan.operators.candidates import delivery, select_candidates, validate_candidates
 from portolan.operators.kpis import kpi_eta, kpi_hs_disparity, kpi_registry_status, with_risk
 from portolan.plans.base_run import run_base
 from portolan.plans.views import imports, registry, table
 from portolan.session import scratch_path
 from portolan.streaming import lots
-from workload.attribution import CNB
+from workload.attribution import CNB, WORDS
 from workload.catalog import DAYS, DIGITS, ENRICHED, IMPORTS, REGISTRY, clip01, he, query
 
 LINES = ("chave_item", "cnpj", "ncm", "eta", "eta_real", "descricao")
@@ -62,6 +63,64 @@ def incremental_training(spark, d):
     return lots.trained_counts(spark, output)
 
 
+# Three lots by date of import: each guessed by what the ones before it hold.
+_ENDS = ("1994-01-01", "1996-01-01")
+_LOT = "CASE " + " ".join(f"WHEN data_importacao < DATE '{end}' THEN {i}" for i, end in enumerate(_ENDS)) + f" ELSE {len(_ENDS)} END"
+_PREDICTED = f"""{ENRICHED}, items AS MATERIALIZED (SELECT chave_item, cnpj, {_LOT} AS lot, list_sort({WORDS.format("descricao")}) AS toks, {he(f"({_ROW_SCORE}) * 100", 2)} AS score FROM enriched),
+rows_l AS (SELECT *, array_to_string(toks, ' ') AS bag FROM items),
+cnt AS (SELECT l.lot, token, cnpj, count(*)::DOUBLE AS n FROM (SELECT lot, cnpj, unnest(toks) AS token FROM items) i JOIN (VALUES (1), (2)) l(lot) ON i.lot < l.lot GROUP BY ALL),
+tot AS (SELECT lot, token, sum(n) AS all_t FROM cnt GROUP BY ALL),
+whole AS (SELECT lot, sum(all_t) + 0.3::DOUBLE * count(*) AS mass FROM tot GROUP BY lot),
+cls AS (SELECT lot, cnpj, ln(any_value(mass) - sum(n)) AS base FROM cnt JOIN whole USING (lot) GROUP BY ALL),
+bags AS (SELECT DISTINCT lot, bag, toks FROM rows_l WHERE lot > 0),
+bt AS (SELECT lot, bag, token, count(*) AS x FROM (SELECT lot, bag, unnest(toks) AS token FROM bags) GROUP BY ALL),
+len_b AS (SELECT lot, bag, coalesce(sum(x) FILTER (all_t IS NOT NULL), 0) AS len, coalesce(sum(x * ln(all_t + 0.3::DOUBLE)), 0) AS konst
+  FROM bags LEFT JOIN bt USING (lot, bag) LEFT JOIN tot USING (lot, token) GROUP BY ALL),
+gain AS (SELECT lot, bag, cnpj, sum(x * (ln(all_t + 0.3::DOUBLE) - ln(all_t + 0.3::DOUBLE - n))) AS g
+  FROM bt JOIN tot USING (lot, token) JOIN cnt USING (lot, token) GROUP BY ALL),
+dense AS (SELECT b.lot, b.bag, c.cnpj, len * base - konst + coalesce(g, 0) AS s FROM len_b b JOIN cls c USING (lot) LEFT JOIN gain USING (lot, bag, cnpj)),
+best AS (SELECT lot, bag, arg_min(cnpj, (-round(s, 9), cnpj)) AS guess, max(s) AS top, sum(exp(s)) AS mass FROM dense GROUP BY ALL),
+done AS (SELECT chave_item, r.lot, guess, exp(top) / mass AS p, score FROM rows_l r LEFT JOIN best USING (lot, bag))"""
+
+
+def _arrivals(spark, d):
+    """Imports written to one folder in three parts, a run over the folder after each: every run resumes the state of the last."""
+    folder, output, counts, state = (scratch_path(spark, n) for n in ("arrivals", "predicted", "learned", "predicted-state"))
+    reg = registry(spark, d).select("cnpj", "ext_situacao")
+    source = imports(spark, d, (*LINES, "data_importacao"))
+    lot = F.lit(len(_ENDS))
+    for i, end in reversed(list(enumerate(_ENDS))):
+        lot = F.when(F.col("data_importacao") < F.lit(end).cast("date"), F.lit(i)).otherwise(lot)
+
+    def prepare(batch):
+        return a.with_bag(_row_risk(batch.join(reg, "cnpj", "left")), word_tokens(F.col("descricao")))
+
+    for i in range(len(_ENDS) + 1):
+        source.where(lot == i).write.mode("append").parquet(folder)
+        stream = lots.open_folder(spark, folder, source.schema, files_per_lot=1_000_000)
+        lots.predict_lots(stream, prepare, "cnpj", output, counts, state)
+    return lots.read_lots(spark, output)
+
+
+@query(
+    "predicted_lots",
+    f"""WITH {_PREDICTED} SELECT chave_item, lot::BIGINT AS lot, guess AS RES_Previsto, {he("p", 4)} AS RES_Confianca, score AS RiskScore,
+    CASE WHEN guess IS NOT NULL THEN 'ComplementNB' END AS Modelo FROM done""",
+)
+def predicted(spark, d):
+    done = _arrivals(spark, d)
+    return done.select("chave_item", F.col("lote").cast("long").alias("lot"), "RES_Previsto", "RES_Confianca", "RiskScore", "Modelo")
+
+
+@query(
+    "lots_delivery",
+    f"""WITH {_PREDICTED} SELECT chave_item, guess AS CNPJ FROM (SELECT *, {he("p", 4)} AS conf FROM done WHERE guess IS NOT NULL)
+    ORDER BY conf DESC, score DESC NULLS LAST, guess, chave_item LIMIT 50""",
+)
+def lots_delivery(spark, d):
+    return delivery(select_candidates(validate_candidates(lots.guessed_candidates(_arrivals(spark, d)))))
+
+
 @query(
     "stream_enrichment",
     f"""WITH {IMPORTS}, {REGISTRY}, k AS (SELECT DISTINCT cnpj FROM imports), m AS (SELECT count(*) AS missing FROM k WHERE cnpj NOT IN (SELECT cnpj FROM registry))
