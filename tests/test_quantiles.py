@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from portolan.operators.ml import standardised
 from portolan.operators.quantiles import SKETCH_ACCURACY, _brackets, selected_values, whole_quantiles
 
 WANTED = {"low": 0.0, "p01": 0.01, "q1": 0.25, "med": 0.5, "q3": 0.75, "p999": 0.999, "top": 1.0}
@@ -38,3 +39,13 @@ def test_few_values_are_shuffled(spark):
     kept = selected_values(values, _brackets(values, [0.25, 0.75]), 2)
     assert kept.count() <= 2 * n * 10 / SKETCH_ACCURACY + 3
     assert kept.agg(F.sum("copies")).first()[0] == n
+
+
+def test_standardised_columns(spark):
+    rows = [(1.0, 5.0, None), (None, 5.0, None), (4.0, None, None), (10.0, 5.0, None)]
+    out = standardised(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()
+    filled = np.array([1.0, 4.0, 4.0, 10.0])
+    want = (filled - filled.mean()) / filled.std()
+    assert sorted(r["a_std"] for r in out) == pytest.approx(sorted(want))
+    assert {r["b_std"] for r in out} == {0.0} and {r["c_std"] for r in out} == {None}
+    assert set(out[0].asDict()) == {"a", "b", "c", "a_std", "b_std", "c_std"}

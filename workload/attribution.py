@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from portolan.functions.numeric import half_even
+from portolan.functions.numeric import half_even, lenient_double
 from portolan.functions.text import word_tokens
 from portolan.operators import attribution as a
 from portolan.operators import metrics as m
@@ -51,6 +51,35 @@ def cnb(spark, d):
     return a.attribute(rows, model).drop("descricao")
 
 
+@query(
+    "point_query",
+    f"""WITH {CNB}, asked AS (SELECT bag FROM rows_b ORDER BY chave_item LIMIT 1) SELECT c1 AS RES_Previsto, {he("p1", 4)} AS RES_Confianca,
+    {", ".join(f"c{r} AS RES_Top{r}, {he(f'p{r}', 4)} AS RES_Top{r}_p" for r in range(1, 6))},
+    {he("ent", 4)} AS RES_Entropia, {he("p1 - p2", 4)} AS RES_Margem FROM asked JOIN wide USING (bag)""",
+)
+def point_query(spark, d):
+    """One description against the model of all rows."""
+    rows = _bags(spark, d)
+    asked = imports(spark, d, ("chave_item", "descricao")).agg(F.min_by("descricao", "chave_item").alias("descricao"))
+    model = a.complement_model(_stored(spark, a.complement_counts(rows, "cnpj"), "counts"))
+    return a.attribute(a.with_bag(asked, word_tokens(F.col("descricao"))), model).drop("descricao")
+
+
+_NUMBERS = ("vmle_dolar", "peso_liquido")
+
+
+@query(
+    "standardised",
+    f"""WITH {IMPORTS}, v AS (SELECT chave_item, {", ".join(f"try_cast({n} AS DOUBLE) AS {n}" for n in _NUMBERS)} FROM imports),
+    filled AS (SELECT chave_item, {", ".join(f"coalesce({n}, (SELECT median({n}) FROM v)) AS {n}" for n in _NUMBERS)} FROM v)
+    SELECT chave_item, {", ".join(f"{he(f'({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER ()', 6)} AS {n}_std" for n in _NUMBERS)} FROM filled""",
+)
+def standardised(spark, d):
+    rows = imports(spark, d, ("chave_item", *_NUMBERS)).withColumns({n: lenient_double(n) for n in _NUMBERS})
+    out = ml.standardised(rows, list(_NUMBERS))
+    return out.select("chave_item", *[half_even(F.col(f"{n}_std"), 6).alias(f"{n}_std") for n in _NUMBERS])
+
+
 @query(
     "training_counts",
     f"WITH {CNB} SELECT token, cnpj AS class, n::BIGINT AS n FROM cnt",

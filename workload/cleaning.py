@@ -321,3 +321,18 @@ def element_udf(spark, d):
     return table(spark, d, "documents").select(
         "doc_id", map_values(F.col("text"), lambda s: s.str.len(), "long").alias("tamanho")
     )
+
+
+_CODES = {"a": "descricao", "b": "pais_origem", "c": "ncm", "d": "cnpj"}
+_SHARES = ", ".join(f"avg((length(regexp_replace({c}, '\\D', '', 'g')) BETWEEN 6 AND 20)::INTEGER) AS {n}" for n, c in _CODES.items())
+
+
+@query(
+    "id_column",
+    f"""WITH {IMPORTS}, s AS (SELECT {_SHARES} FROM imports)
+    SELECT CASE {" ".join(f"WHEN {n} > 0.8 THEN '{n}'" for n in _CODES)} END AS coluna, {", ".join(he(n, 6) + f" AS {n}" for n in _CODES)} FROM s""",
+)
+def id_column(spark, d):
+    rows = imports(spark, d, tuple(_CODES.values())).select(*[F.col(c).alias(n) for n, c in _CODES.items()])
+    shares = p.digit_shares(rows).select(*[half_even(F.col(n), 6).alias(n) for n in _CODES])
+    return shares.withColumn("coluna", F.lit(p.find_id_column(rows)))
