@@ -42,3 +42,32 @@ def test_a_row_on_the_limit_is_not_flagged(spark):
     df = spark.createDataFrame([(float(x),) for x in range(71)], "x double")
     got = {r["x"]: r["KPI_Outlier"] for r in lof_scores(df, ["x"], block_points=16).collect()}
     assert [got[float(x)] for x in range(71)] == pytest.approx(list(scores), abs=1e-9)
+
+
+def test_the_search_in_a_cell_grows_with_its_points_not_with_their_square(monkeypatch):
+    """One cell of 6,000 points meets about as many pairs a point as one of 1,500, and finds what all pairs give."""
+    from portolan.operators import outliers as o
+
+    met = []
+    real = o.squared_distances
+    monkeypatch.setattr(o, "squared_distances", lambda here, there: met.append(len(here) * len(there)) or real(here, there))
+
+    def pairs(n):
+        rng = np.random.default_rng(n)
+        x = np.unique(np.column_stack([rng.uniform(0, 1e4, n).round(1), rng.integers(1, 50, n), rng.integers(0, 3, n) / 2]), axis=0)
+        ids, copies, k = np.arange(len(x)), rng.integers(1, 4, len(x)), np.full(len(x), 20)
+        cell = o.Cell(ids, copies, x)
+        assert cell.search(x[:1] + 1e9, ids[:1] - 1, k[:1], np.zeros(1))[0].size == 0
+        met.clear()
+        row, near, squared, rows, bound = cell.search(x, ids, k, np.full(len(x), np.inf))
+        for i in range(0, len(x), 97):
+            want = ((x[i] - x) ** 2).sum(axis=1)
+            order = [j for j in np.lexsort((ids, want)) if copies[j] - (j == i) > 0]
+            reached = np.cumsum([copies[j] - (j == i) for j in order])
+            order = order[: int(np.argmax(reached >= 20)) + 1]
+            assert sorted(near[row == i]) == sorted(order)
+            assert bound[i] == pytest.approx(want[order[-1]])
+        return sum(met) / len(x)
+
+    few, many = pairs(1500), pairs(6000)
+    assert many < 1.5 * few and many < 600
