@@ -58,3 +58,19 @@ def test_newton_fit_meets_its_conditions(spark):
     assert abs(sum(off)) < 1e-6 and abs(sum(o * p for o, (p, _) in zip(off, rows, strict=True))) < 1e-6
     with pytest.raises(ValueError):
         c.fit_platt(spark.createDataFrame([], "p double, y int"))
+
+
+def test_tfidf_moves_texts_not_pairs(spark):
+    """(key, token) pairs lie where their text was dealt; repeated and NULL keys still count as one text."""
+    from portolan.operators.ml import tfidf
+
+    df = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (None, "aa dd"), (2, "bb bb")], "i long, t string")
+    got = tfidf(df, "i", ["t"], most=3, n_max=1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(i#" in line and "token#" in line.split("ENSURE")[0].split("hashpartitioning")[1]]
+    weights = {(r["i"], r["token"]): r["w"] for r in got.collect()}
+    idf = {"aa": math.log(5 / 3) + 1, "bb": math.log(5 / 3) + 1, "cc": math.log(5 / 2) + 1}
+    raw = {"aa": idf["aa"], "bb": (1 + math.log(2)) * idf["bb"], "cc": idf["cc"]}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    assert set(weights) == {(1, "aa"), (1, "bb"), (1, "cc"), (None, "aa"), (2, "bb")}
+    assert all(weights[(1, t)] == pytest.approx(v / norm) for t, v in raw.items())
