@@ -74,3 +74,15 @@ def test_tfidf_moves_texts_not_pairs(spark):
     norm = math.sqrt(sum(v * v for v in raw.values()))
     assert set(weights) == {(1, "aa"), (1, "bb"), (1, "cc"), (None, "aa"), (2, "bb")}
     assert all(weights[(1, t)] == pytest.approx(v / norm) for t, v in raw.items())
+
+
+def test_table_kpis_read_their_input_once(spark):
+    """The joins that give the table run once, not once for each figure."""
+    from portolan.operators.business import business_kpis
+
+    left = spark.createDataFrame([(i, f"c{i % 3}", str(i % 7), float(i)) for i in range(50)], "i long, cnpj string, ncm string, vmle_dolar double")
+    right = spark.createDataFrame([(i, "BR" if i % 2 else None, 1.5) for i in range(50)], "i long, pais_origem string, peso_liquido double")
+    got = business_kpis(left.join(right, "i"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
+    assert tuple(got.first())[:7] == (50, 3, 7, 1, 24.5, 1225.0, 1.5)
