@@ -86,3 +86,17 @@ def test_table_kpis_read_their_input_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
     assert tuple(got.first())[:7] == (50, 3, 7, 1, 24.5, 1225.0, 1.5)
+
+
+def test_quality_kpis_shuffle_hashes_and_compare_repeats_whole(spark):
+    """NULLs leave no trace in a row's hash: rows of one hash are told apart, real copies are counted."""
+    from portolan.operators.business import quality_kpis
+
+    rows = [("x", None), (None, "x"), (None, "x"), (None, None), ("y", "z"), ("y", "z"), ("y", "z")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert tuple(quality_kpis(df, "a").first()) == (7, 2, round(9 / 14, 4), 3, 2, 0.5714)
+    unlike = spark.createDataFrame([("x", "1"), ("y", "2")], "a string, b string")
+    got = quality_kpis(unlike, "a")
+    assert "hashpartitioning(a#" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.first()) == (2, 2, 1.0, 0, 2, 0.0)
+    assert tuple(quality_kpis(df.limit(0), "a").first())[:4] == (0, 2, None, 0)
