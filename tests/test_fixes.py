@@ -100,3 +100,27 @@ def test_quality_kpis_shuffle_hashes_and_compare_repeats_whole(spark):
     assert "hashpartitioning(a#" not in got._jdf.queryExecution().executedPlan().toString()
     assert tuple(got.first()) == (2, 2, 1.0, 0, 2, 0.0)
     assert tuple(quality_kpis(df.limit(0), "a").first())[:4] == (0, 2, None, 0)
+
+
+def test_feature_vectors_are_stored_in_small_row_groups(spark, small):
+    """Spark decodes up to 4,096 rows of a row group at once: groups of wide vectors stay far below that."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    import workload
+    from portolan.session import shared_dir
+
+    before = set(Path(shared_dir(spark).removeprefix("file:")).glob("text-features-*"))
+    assert workload.queries()["linear_text_model"](spark, small).count() == 1
+    (made,) = set(Path(shared_dir(spark).removeprefix("file:")).glob("text-features-*")) - before
+    wide = spark.range(2000).selectExpr("id", "transform(sequence(1, 3000), i -> (id * 7919 + i * 104729) % 1000003 / 7D) AS v")
+    from portolan.operators.ml import VECTOR_GROUP
+    from portolan.session import stored
+
+    kept = stored(wide.coalesce(1), "wide", VECTOR_GROUP)
+    assert kept.count() == 2000
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert sum(rows) == 2000 and max(rows) <= 400
+    assert list(made.glob("*.parquet"))
