@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from portolan.operators.candidates import delivery, select_candidates
 from portolan.operators.metrics import log_loss, topk_accuracy
@@ -124,3 +125,30 @@ def test_feature_vectors_are_stored_in_small_row_groups(spark, small):
     rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
     assert sum(rows) == 2000 and max(rows) <= 400
     assert list(made.glob("*.parquet"))
+
+
+def _counted(spark, n=60):
+    """Rows whose making is counted, as joins that give a table would be repeated."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(i):
+        made.add(1)
+        return i
+
+    rows = spark.range(n, numPartitions=1).withColumn("i", F.udf(count, "long")("id"))
+    return rows, made
+
+
+def test_copula_reads_its_input_once_and_moves_only_draws(spark):
+    from portolan.operators.privacy import fit_copula, generate_and_validate, sample_copula
+
+    rows, made = _counted(spark)
+    df = rows.selectExpr("i % 7 * 1D AS v", "i % 5 * 2D AS x", "'c' || i % 11 AS c", "'d' || i % 3 AS d", "timestamp_seconds(i) AS t")
+    copula = fit_copula(df)
+    assert made.value == 60 and copula.rows == 60
+    plan = sample_copula(spark, copula)._jdf.queryExecution().optimizedPlan().toString()
+    assert "timestamp" not in plan[plan.index("Join") :]
+    rows, made = _counted(spark)
+    df = rows.selectExpr("i % 7 * 1D AS v", "'c' || i % 11 AS c", "'d' || i % 3 AS d")
+    assert generate_and_validate(spark, df, ["c", "d"])[1].first()["n_original"] == 60
+    assert made.value == 60
