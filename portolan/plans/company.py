@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.ids import cnpj_format_check
-from portolan.functions.numeric import half_even
+from portolan.functions.numeric import half_even, lenient_double
 from portolan.functions.text import company_name_profile
-from portolan.operators.business import business_kpis_by
 from portolan.operators.calibration import calibration_errors
-from portolan.operators.outliers import outliers_iqr
+from portolan.operators.outliers import beyond_iqr
+from portolan.operators.quantiles import interpolated, value_ranks
+from portolan.session import stored
 
 TOP_PER_CODE = 10
 
@@ -18,23 +19,42 @@ TOP_PER_CODE = 10
 def company_report(df: DataFrame) -> DataFrame:
     """One row per company: id check, name analysis, KPIs, rows among each code's best, outliers,
     anonymity of its rows, calibration error of its scores."""
-    kpis = business_kpis_by(df, "cnpj", "ncm", "pais_origem", "vmle_dolar", "peso_liquido")
+    # Stored once: each figure is its own scan, which would otherwise repeat the joins that give the table.
+    amount = lenient_double("vmle_dolar")
+    probability = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("score")))
+    rows = stored(
+        df.select("cnpj", "razao_social", "ncm", "pais_origem", "uf", amount.alias("v"), probability.alias("p"), F.col("suspeito").alias("y")),
+        "company-rows",
+    )
+    base = rows.groupBy("cnpj").agg(
+        F.count(F.lit(1)).alias("total_registros"), F.avg("v").alias("vmle_medio"), F.min("razao_social").alias("razao_social")
+    )
+    # Rows are counted by group once: codes, countries, best rows and anonymity are sums over the groups.
+    groups = rows.groupBy("cnpj", "ncm", "pais_origem", "uf").agg(F.count(F.lit(1)).alias("n"))
+    groups = stored(groups, "company-groups")
     # The best rows per (company, code): counted, so only group sizes are needed.
     best = (
-        df.groupBy("cnpj", "ncm")
-        .agg(F.count(F.lit(1)).alias("n"))
+        groups.groupBy("cnpj", "ncm")
+        .agg(F.sum("n").alias("n"))
         .groupBy("cnpj")
-        .agg(F.sum(F.least(F.col("n"), F.lit(TOP_PER_CODE))).alias("topk_registros"))
+        .agg(F.count("ncm").alias("ncms_distintos"), F.sum(F.least(F.col("n"), F.lit(TOP_PER_CODE))).alias("topk_registros"))
     )
-    outliers = outliers_iqr(df, "vmle_dolar", by="cnpj").groupBy("cnpj").agg(F.count(F.lit(1)).alias("outliers"))
-    groups = df.groupBy("cnpj", "ncm", "pais_origem", "uf").agg(F.count(F.lit(1)).alias("n"))
+    countries = groups.select("cnpj", "pais_origem").distinct().groupBy("cnpj").agg(F.count("pais_origem").alias("paises_distintos"))
     anonymity = groups.groupBy("cnpj").agg(F.min("n").alias("k_min"))
-    probability = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("score")))
-    errors = calibration_errors(df.select("cnpj", F.col("suspeito").alias("y"), probability.alias("p")), by=["cnpj"])
-    names = df.groupBy("cnpj").agg(F.min("razao_social").alias("razao_social"))
+    # Quartiles and tail come from one ranking. Equal values are outliers together, so the ranked values are counted, not the rows.
+    ranks = stored(value_ranks(rows, F.col("v"), ["cnpj"]).select("cnpj", "value", "n", "before", "total"), "company-ranks")
+    cuts = stored(interpolated(ranks, {"vmle_p95": 0.95, "q1": 0.25, "q3": 0.75}, ["cnpj"]), "company-cuts")
+    outliers = (
+        ranks.join(cuts, "cnpj")
+        .where(beyond_iqr(F.col("value"), F.col("q1"), F.col("q3")))
+        .groupBy("cnpj")
+        .agg(F.sum("n").alias("outliers"))
+    )
+    errors = calibration_errors(rows.select("cnpj", "y", "p"), by=["cnpj"])
     report = (
-        kpis.join(names, "cnpj")
+        base.join(cuts.select("cnpj", "vmle_p95"), "cnpj", "left")
         .join(best, "cnpj")
+        .join(countries, "cnpj")
         .join(outliers, "cnpj", "left")
         .join(anonymity, "cnpj")
         .join(errors.select("cnpj", "ece"), "cnpj")

@@ -152,3 +152,17 @@ def test_copula_reads_its_input_once_and_moves_only_draws(spark):
     df = rows.selectExpr("i % 7 * 1D AS v", "'c' || i % 11 AS c", "'d' || i % 3 AS d")
     assert generate_and_validate(spark, df, ["c", "d"])[1].first()["n_original"] == 60
     assert made.value == 60
+
+
+def test_company_report_reads_its_input_once(spark):
+    from portolan.plans.company import company_report
+
+    rows, made = _counted(spark)
+    df = rows.selectExpr(
+        "lpad(i % 3, 14, '0') AS cnpj", "'N' || i % 3 AS razao_social", "'n' || i % 4 AS ncm", "if(i % 5 = 0, null, 'BR') AS pais_origem", "'SP' AS uf",
+        "if(i = 3, '9999', if(i = 4, 'n/d', cast(i % 10 AS string))) AS vmle_dolar", "0.5D AS score", "cast(i % 2 AS int) AS suspeito",
+    )
+    got = {r["cnpj"][-1]: r for r in company_report(df).collect()}
+    assert made.value == 60
+    assert [got[c]["total_registros"] for c in "012"] == [20, 20, 20] and got["0"]["paises_distintos"] == 1
+    assert [got[c]["outliers_encontrados"] for c in "012"] == [1, 0, 0] and got["1"]["ncms_distintos"] == 4

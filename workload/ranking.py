@@ -270,7 +270,8 @@ _PROB = "greatest(0.01::DOUBLE, least(0.99::DOUBLE, score))"
     FROM base JOIN best USING (cnpj) LEFT JOIN outl USING (cnpj) JOIN anon USING (cnpj) JOIN err USING (cnpj)""",
 )
 def company(spark, d):
-    return company_report(imports(spark, d))
+    columns = ("cnpj", "razao_social", "ncm", "pais_origem", "uf", "vmle_dolar", "score", "suspeito")
+    return company_report(imports(spark, d, columns))
 
 
 @query(
