@@ -166,3 +166,24 @@ def test_company_report_reads_its_input_once(spark):
     assert made.value == 60
     assert [got[c]["total_registros"] for c in "012"] == [20, 20, 20] and got["0"]["paises_distintos"] == 1
     assert [got[c]["outliers_encontrados"] for c in "012"] == [1, 0, 0] and got["1"]["ncms_distintos"] == 4
+
+
+@pytest.mark.parametrize("padded", [False, True])
+def test_windows_are_counted_before_they_leave_python(spark, padded):
+    """Grams of short, empty and repeated texts equal a plain count, and no row is made for each place of a text."""
+    from collections import Counter
+
+    from portolan.operators.ngrams import gram_counts
+
+    texts = ["Abc abc-9", "abcab", "abcab", "z", "", None, "a b c a b d 0"]
+    got = gram_counts(spark.createDataFrame([(t,) for t in texts], "t string"), ["t"], padded)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "regexp_extract_all" not in plan
+    freq, held = Counter(), Counter()
+    for t in texts:
+        blob = "".join(c for c in (t or "").lower() if c.isascii() and c.isalnum())
+        blob = f" {blob} " if padded and blob else blob
+        grams = Counter(blob[i : i + n] for n in (2, 3, 4, 5) for i in range(len(blob) - n + 1))
+        freq.update(grams)
+        held.update(grams.keys())
+    assert {r["gram"]: (r["freq"], r["shared"]) for r in got.collect()} == {g: (n, held[g] > 1) for g, n in freq.items()}
