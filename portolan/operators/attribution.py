@@ -41,7 +41,8 @@ def with_bag(df: DataFrame, tokens: Column) -> DataFrame:
 
 def bag_tokens(df: DataFrame) -> DataFrame:
     """(bag, token, x) of the distinct bags of a frame from `with_bag`."""
-    bags = df.groupBy("bag").agg(F.first("tokens").alias("tokens"))
+    # Distinct first, by hashing: the first array of a group alone would sort all rows by bag.
+    bags = df.select("bag", "tokens").distinct().groupBy("bag").agg(F.first("tokens").alias("tokens"))
     # A row without tokens keeps its bag, with one NULL token that no model knows.
     return bags.select("bag", F.explode_outer("tokens").alias("token")).groupBy("bag", "token").agg(
         F.count(F.lit(1)).alias("x")
@@ -51,14 +52,11 @@ def bag_tokens(df: DataFrame) -> DataFrame:
 def complement_counts(df: DataFrame, label: str) -> DataFrame:
     """(token, class, n): the sufficient statistic. Counts of batches add up, in any order.
 
-    Rows are first counted per (bag, class), and only the distinct bags are exploded into tokens.
+    One scan and one shuffle: tokens are counted per class where the rows lie, so that a frequent class or token leaves a
+    task as few rows.
     """
-    copies = df.groupBy("bag", F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("copies"))
-    return (
-        copies.join(bag_tokens(df).where("token IS NOT NULL"), "bag")
-        .groupBy("token", "class")
-        .agg(F.sum(F.col("copies") * F.col("x")).alias("n"))
-    )
+    pairs = df.select(F.col(label).alias("class"), F.explode("tokens").alias("token")).where("token IS NOT NULL")
+    return pairs.groupBy("token", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def add_counts(*parts: DataFrame) -> DataFrame:
@@ -290,7 +288,8 @@ def attribute(
         half_even(F.col("spread"), 4).alias("RES_Entropia"),
         half_even(probability[1] - F.coalesce(probability[2], probability[1]) if k > 1 else F.lit(0.0), 4).alias("RES_Margem"),
     )
-    return df.join(per_bag, "bag", "left").drop("bag", "tokens")
+    # Stored, so that its size is known before the join: where texts repeat it is broadcast and no row moves.
+    return df.join(stored(per_bag, "bag-results"), "bag", "left").drop("bag", "tokens")
 
 
 def soft_vote(models: list[tuple[DataFrame, float]], row: str = "row", label: str = "class") -> DataFrame:
