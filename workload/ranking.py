@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from portolan.functions.numeric import half_even
 from portolan.operators import topk as t
-from portolan.operators.candidates import delivery, first_gate_delivery, select_candidates, validate_candidates
+from portolan.operators.candidates import RANKED, delivery, first_gate_delivery, select_candidates, validate_candidates
 from portolan.operators.history import session_pattern
 from portolan.operators.outliers import lof_scores, outliers_iqr
 from portolan.operators.privacy import normal_scores
@@ -206,12 +206,12 @@ def _selection_sql(where: str) -> str:
 @query("candidate_selection", _selection_sql("CNPJ_Valido AND Score_Valido AND Confianca_Valida"))
 def selection(spark, d):
     rows = validate_candidates(_guesses(spark, d), levels=("BAIXO", "MEDIO", "ALTO", "CRITICO"))
-    return delivery(select_candidates(rows))
+    return delivery(select_candidates(rows.select(*RANKED)))
 
 
 @query("candidate_fallback", _selection_sql("true"))
 def fallback(spark, d):
-    return delivery(select_candidates(validate_candidates(_guesses(spark, d))))
+    return delivery(select_candidates(validate_candidates(_guesses(spark, d)).select(*RANKED)))
 
 
 @query(
