@@ -1,10 +1,12 @@
 """The nearest-record join against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from portolan.operators import nearest
 from portolan.operators import privacy as p
+from portolan.operators.outliers import Regions
 
 
 def _brute(asking: np.ndarray, given: np.ndarray) -> np.ndarray:
@@ -65,3 +67,34 @@ def test_a_sample_needs_its_key(spark):
     with pytest.raises(ValueError):
         p.closest_record_distance(table, table, ["c0"], sample=5)
     assert p.closest_record_distance(table, table, ["c0"], ["c1"], sample=5).first()["dcr_min"] == 0.0
+
+
+def test_work_of_a_point_does_not_follow_the_size_of_its_cell(monkeypatch):
+    met, least = [], nearest.Leaves._least
+    monkeypatch.setattr(nearest.Leaves, "_least", lambda self, x, leaf: met.append(len(leaf) * self.held.shape[2]) or least(self, x, leaf))
+    rng = np.random.default_rng(5)
+    names = ["c0", "c1"]
+    per_point = []
+    for n in (2000, 32_000):
+        met.clear()
+        given, asking = (rng.uniform(size=(n, 2)) for _ in range(2))
+        asked = pd.DataFrame(asking, columns=names).assign(copies=1, cell=0, bound=np.inf)
+        out = nearest.closest(asked, pd.DataFrame(given, columns=names), names)
+        assert (np.sqrt(out["bound"][:300]) == _brute(asking[:300], given)).all()
+        per_point.append(sum(met) / n)
+    assert max(per_point) < 100
+
+
+def test_points_that_share_a_value_lie_on_no_border():
+    rng = np.random.default_rng(6)
+    points = np.c_[rng.uniform(size=4000), rng.integers(0, 5, 4000)]
+    cells = Regions(points, 6)
+    low, high = nearest.cell_boxes(cells, 2)
+    home = cells.home(points)
+    assert (points > low[home]).all() and (points < high[home]).all()
+    assert np.bincount(home, minlength=64).min() > 0
+    # A ball inside the box of its cell reaches no other; one that leaves it does.
+    edge = np.minimum(points - low[home], high[home] - points).min(axis=1) ** 2
+    assert np.array_equal(cells.within(points, edge * 0.99)[0], np.arange(4000))
+    row, _ = cells.within(points, edge * 1.01)
+    assert (np.bincount(row, minlength=4000) > 1).all()
