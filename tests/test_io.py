@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from portolan.functions.ids import digits_only
+from portolan.functions.numeric import lenient_double
 from portolan.operators.history import session_pattern
-from portolan.operators.profile import chosen_columns, column_roles, find_id_column, narrowed
+from portolan.operators.profile import DIGIT_LIKE, NUMBER_START, chosen_columns, column_roles, find_id_column, narrowed
 from portolan.sinks import writers as w
 from portolan.sources import files as s
 from portolan.streaming import lots
@@ -137,3 +139,20 @@ def test_arrow_batches_keep_every_row(spark):
 
     df = map_arrow(spark.range(2500).select(F.col("id").alias("n")), lambda batch: batch, "n long")
     assert df.count() == 2500 and df.agg(F.sum("n")).first()[0] == 2499 * 1250
+
+
+def test_roles_parse_only_what_can_be_a_number_and_move_no_names(spark):
+    odd = ["1", " -2.5", "+.5e3", "0x1p3", "1d", "\t7\n", "inf", "-Infinity", "NaN", "", " ", "n/d", "1-2", "e5", "x1", None]
+    rows = [(f"{i}-{i}", v) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, "chave string, v string")
+    by_cast = spark.createDataFrame(rows, "chave string, v string").where("try_cast(v AS double) IS NOT NULL AND NOT isnan(try_cast(v AS double))")
+    number = F.col("v").rlike(NUMBER_START) & lenient_double("v").isNotNull()
+    assert {r["v"] for r in df.where(number).collect()} == {r["v"] for r in by_cast.collect()}
+    texts = ["1" * 7, "1" * 8, "a1b" * 8, "1" * 20, "1" * 21, "", "x", "1234\n5678\n", "٣" * 9]
+    held = spark.createDataFrame([(t,) for t in texts], "v string")
+    same = held.where(F.col("v").rlike(DIGIT_LIKE) != F.length(digits_only(F.col("v"))).between(8, 20))
+    assert same.count() == 0
+    roles = column_roles(df, "chave")
+    keys = [line for line in roles._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not any("column" in line or "dtype" in line for line in keys)
+    assert {r["coluna"]: (r["papel"], r["unicos"], r["rows"]) for r in roles.collect()}["v"] == ("categoricas", 15, 16)
