@@ -36,7 +36,7 @@ LOWEST_WEIGHT = 0.1
 
 def with_bag(df: DataFrame, tokens: Column) -> DataFrame:
     """Adds `tokens` (sorted) and `bag`, the md5 of the joined tokens: equal token lists share a bag."""
-    return df.withColumn("tokens", F.array_sort(tokens)).withColumn("bag", F.md5(F.array_join("tokens", " ")))
+    return df.withColumn("tokens", F.sort_array(tokens)).withColumn("bag", F.md5(F.array_join("tokens", " ")))
 
 
 def bag_tokens(df: DataFrame) -> DataFrame:

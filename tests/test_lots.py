@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from portolan.functions.text import word_tokens
 from portolan.operators.attribution import attribute, complement_counts, complement_model, with_bag
+from portolan.plans import views
 from portolan.streaming import lots
+from workload import streams
 
 SCHEMA = "id int, cnpj string, descricao string"
 LOTS = [
@@ -79,3 +81,23 @@ def test_a_lot_that_fails_halfway_runs_again_whole(spark, tmp_path, monkeypatch)
 def test_candidates_are_the_guessed_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (2, "a", 0.5)], "id int, RES_Previsto string, RES_Confianca double")
     assert [tuple(r) for r in lots.guessed_candidates(rows).collect()] == [(2, "a", 0.5)]
+
+
+def test_status_comes_with_the_orders_and_only_line_keys_arrive(spark, small, monkeypatch):
+    columns = ("chave_item", "cnpj", "descricao")
+    want = views.imports(spark, small, columns).join(views.registry(spark, small).select("cnpj", "ext_situacao"), "cnpj", "left")
+    got = views.imports(spark, small, (*columns, "ext_situacao"), orders=views.registered_orders(spark, small))
+    text = lambda df: sorted(map(str, df.select(*columns, "ext_situacao").collect()))
+    assert text(got) == text(want)
+    assert {r[0] for r in got.select("ext_situacao").distinct().collect()} >= {None, "ATIVA"}
+    arrived = []
+    open_folder = lots.open_folder
+    monkeypatch.setattr(lots, "open_folder", lambda s, path, schema, **kw: arrived.append(schema.names) or open_folder(s, path, schema, **kw))
+    assert streams.predicted(spark, small).count() == views.table(spark, small, "lineitem").count()
+    assert arrived == [list(streams._LINE_KEYS)] * 3
+
+
+def test_tokens_of_a_bag_are_sorted_as_before(spark):
+    rows = spark.createDataFrame([(["é", "z", "a", "B", "a"],), ([],), (None,)], "w array<string>")
+    old = rows.select(F.array_sort("w").alias("t")).select("t", F.md5(F.array_join("t", " ")).alias("b"))
+    assert sorted(map(str, with_bag(rows, F.col("w")).select(F.col("tokens").alias("t"), F.col("bag").alias("b")).collect())) == sorted(map(str, old.collect()))
