@@ -71,3 +71,40 @@ def test_the_search_in_a_cell_grows_with_its_points_not_with_their_square(monkey
 
     few, many = pairs(1500), pairs(6000)
     assert many < 1.5 * few and many < 600
+
+
+def test_rows_of_a_scope_pass_one_shuffle_and_are_not_joined_back(spark, small):
+    """Texts end where the KPIs are made, nothing is stored for the outlier score, and no join has its inputs as keys."""
+    from pathlib import Path
+
+    import workload
+    from portolan.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("lof_*"))
+    out = workload.queries()["risk_levels"](spark, small)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not [line for line in joins if "lof_" in line]
+    assert {p.name.split("-")[0] for p in set(folder.glob("lof_*")) - before} <= {"lof_wide"}
+    scored = next(line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line)
+    assert "KPI_Completude" in scored and "descricao" not in scored and "razao_social" not in scored
+    assert out.agg(F.sum("n")).first()[0] == 6000
+
+
+def test_a_scope_of_many_rows_is_one_task_with_the_factor_of_all_pairs(spark, monkeypatch):
+    """3,000 points of a scope with copies, and rows that miss a number: rounded and compared as by all pairs."""
+    from portolan.operators import outliers as o
+
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.uniform(0, 1e4, 3000).round(2), rng.integers(0, 50, 3000), rng.normal(size=3000)])
+    rows = [(i, float(a), float(b) if b else None, float(c), "s") for i, (a, b, c) in enumerate(np.vstack([x, x[:90]]))]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double, s string")
+    scored = lof_scores(df, ["a", "b", "c"], scope="s", digits={"c": 3}, keep=["i", "c"], sizes=df.select("s"))
+    assert scored.columns == ["i", "c", "KPI_Outlier"]
+    got = {r["i"]: r["KPI_Outlier"] for r in scored.collect()}
+    monkeypatch.setattr(o, "ALL_PAIRS", 10**6)
+    points = np.array([(r[1], r[2] or 0.0, round(r[3], 3)) for r in rows])
+    distinct, place, copies = np.unique(points, axis=0, return_inverse=True, return_counts=True)
+    want = o.lof_scores_of_block(distinct, copies)[place.ravel()]
+    assert [got[i] for i in range(len(rows))] == pytest.approx(list(want), abs=1e-9)
