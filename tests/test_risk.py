@@ -108,3 +108,25 @@ def test_a_scope_of_many_rows_is_one_task_with_the_factor_of_all_pairs(spark, mo
     distinct, place, copies = np.unique(points, axis=0, return_inverse=True, return_counts=True)
     want = o.lof_scores_of_block(distinct, copies)[place.ravel()]
     assert [got[i] for i in range(len(rows))] == pytest.approx(list(want), abs=1e-9)
+
+
+def test_a_large_scope_stores_lists_of_points_near_a_border_only(spark):
+    """Eight cells of 20,000 points with copies: most points end in their cell, and scores are those of one cell."""
+    from pathlib import Path
+
+    from portolan.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.column_stack([rng.uniform(0, 1e4, 20000).round(2), rng.integers(1, 6, 20000) / 4]), np.zeros((9000, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "i int, a double, b double").repartition(8)
+    before = set(folder.glob("lof_inside-*"))
+    run = lambda size: {r["i"]: r["KPI_Outlier"] for r in lof_scores(df, ["a", "b"], block_points=size).collect()}
+    cells = run(4000)
+    (made,) = set(folder.glob("lof_inside-*")) - before
+    stored = spark.read.parquet(f"file://{made}")
+    assert stored.select("home").distinct().count() >= 4 and stored.agg(F.sum("copies")).first()[0] == len(x)
+    assert 0 < stored.where("near IS NOT NULL").count() < 0.2 * stored.count()
+    assert stored.where("(near IS NULL) <> (factor IS NOT NULL) OR crosses AND coordinates IS NULL").count() == 0
+    one = run(10**6)
+    assert [cells[i] for i in range(len(x))] == pytest.approx([one[i] for i in range(len(x))], abs=1e-9)
