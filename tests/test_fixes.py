@@ -281,3 +281,29 @@ def test_selection_orders_few_rows(spark):
         assert ("leading-candidates" in got.inputFiles()[0] if got.inputFiles() else False) == few
     one = table.withColumn("Candidato_Valido", F.col("chave_item") == "k7")
     assert {r["chave_item"] for r in select_candidates(one).collect()} == {"k7"}
+
+
+def test_tfidf_counts_texts_where_they_lie(spark, monkeypatch):
+    """Texts are in no shuffle, the pairs of the vocabulary in one, and parts of a few words count as whole batches do."""
+    from collections import Counter
+
+    from portolan.operators import ml
+
+    rows = [(1, "Été aa bb é"), (2, "ete aa"), (2, "bb aa bb"), (None, "aa bb cc"), (3, None), (4, "x"), (5, "cc été cc")]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(2)
+    words = {1: ["ete", "aa", "bb"], 2: ["ete", "aa", None, "bb", "aa", "bb"], None: ["aa", "bb", "cc"], 5: ["cc", "ete", "cc"]}
+    tf = {k: Counter([w for w in t if w] + [f"{a} {b}" for a, b in zip(t, t[1:]) if a and b] + [f"{a} {b} {c}" for a, b, c in zip(t, t[1:], t[2:]) if a and b and c]) for k, t in words.items()}
+    total = sum(tf.values(), Counter())
+    chosen = sorted(total, key=lambda t: (-total[t], t))[:6]
+    idf = {t: math.log((1 + len(rows)) / (1 + sum(t in c for c in tf.values()))) + 1 for t in chosen}
+    want = {}
+    for k, counts in tf.items():
+        raw = {t: (1 + math.log(counts[t])) * idf[t] for t in chosen if counts[t]}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        want |= {(k, t): v / norm for t, v in raw.items()}
+    monkeypatch.setattr(ml, "PART", 2)
+    got = ml.tfidf(df, "i", ["t"], most=6, n_max=3)
+    assert {(r["i"], r["token"]): r["w"] for r in got.collect()} == pytest.approx(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # tokens are counted as numbers, not as rows of text
+    assert ml.tfidf(df.where("i = 4"), "i", ["t"]).count() == 0
