@@ -307,3 +307,29 @@ def test_tfidf_counts_texts_where_they_lie(spark, monkeypatch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # tokens are counted as numbers, not as rows of text
     assert ml.tfidf(df.where("i = 4"), "i", ["t"]).count() == 0
+
+
+def test_margin_models_cache_no_rows_and_equal_one_vs_rest(spark, monkeypatch):
+    """The fit never persists a DataFrame; margins and classes are those of OneVsRest."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import DataFrame
+
+    from portolan.operators import ml
+
+    df = spark.range(300).select(
+        "id", (F.col("id") % 3).cast("double").alias("label"),
+        array_to_vector(F.array((F.col("id") % 3 + F.rand(1)).alias("a"), ((F.col("id") % 3) * (F.col("id") % 3) + F.rand(2)).alias("b"))).alias("features"),
+    )
+    df = spark.createDataFrame(df.collect(), df.schema).repartition(2)
+    rest = OneVsRest(classifier=LinearSVC(regParam=1e-4, maxIter=20, tol=1e-4)).fit(df).transform(df)
+    want = {r["id"]: (r["prediction"], list(r["m"])) for r in rest.withColumn("m", vector_to_array("rawPrediction")).collect()}
+    kept = []
+    real = type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: kept.append(1) or real(self, *a))
+    assert isinstance(df, DataFrame)
+    scored = ml.fit_margin(df).transform(df)
+    got = {r["id"]: (r["prediction"], list(r["m"])) for r in scored.withColumn("m", vector_to_array("rawPrediction")).collect()}
+    assert not kept and scored.columns == ["id", "label", "features", "rawPrediction", "prediction"]
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(m == pytest.approx(want[i][1], rel=1e-9) for i, (_, m) in got.items())
